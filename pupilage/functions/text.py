@@ -7,6 +7,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pupilage.config import InputField
 
@@ -79,7 +80,7 @@ def _json_field_text(raw: pa.Array) -> pa.Array:
 
 
 # Free-form JSON fields only; declared scalar fields never leave the JVM.
-json_field_text = F.arrow_udf(_json_field_text, "string")
+json_field_text = F.arrow_udf(_json_field_text, StringType())
 
 
 def field_text(field: InputField, value: Column) -> Column:

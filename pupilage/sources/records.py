@@ -6,20 +6,23 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pupilage.config import DataError
 from pupilage.operators.ledger import LEDGER
 from pupilage.operators.records import RECORD, latest_per_id, merge_records, sorted_by_id
+from pupilage.operators.validation import settle
 from pupilage.sources.dataset import read_lines
-from pupilage.sources.storage import path_exists
+from pupilage.sources.storage import list_names, path_exists
 
-STORED = RECORD.fieldNames() + ["run"]
+STORED = T.StructType([*RECORD.fields, T.StructField("run", T.LongType())])
+BASE = "base"
 
 
 class LabelStore:
-    """Teacher records under one folder.
+    """Teacher records under one folder: ``gen-<n>/append=<tag>/*.parquet``.
 
-    ``append`` adds files to the current generation. ``merge`` writes a new
+    ``append`` adds a folder to the current generation. ``merge`` writes a new
     generation and never touches the one being read; a generation counts only
     once its job has committed, so a failed merge leaves the old one current.
     """
@@ -28,51 +31,52 @@ class LabelStore:
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def _generation(self) -> int:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return -1
-        names = [s.getPath().getName() for s in files.listStatus(root)]
+    def generation(self) -> int:
+        names = list_names(self.spark, self.path)
         numbers = [int(n.removeprefix("gen-")) for n in names if n.startswith("gen-")]
-        committed = [n for n in numbers if path_exists(self.spark, f"{self._folder(n)}/_SUCCESS")]
-        return max(committed, default=-1)
+        merged = [n for n in numbers if n > 0 and path_exists(self.spark, f"{self._folder(n)}/append={BASE}/_SUCCESS")]
+        return max(merged, default=0)
 
     def _folder(self, generation: int) -> str:
         return f"{self.path}/gen-{generation:08d}"
 
     def records(self) -> DataFrame:
-        """Every stored record, with the append it came from in ``run``."""
-        generation = self._generation()
-        schema = RECORD.jsonValue()
-        schema["fields"].append({"name": "run", "type": "long", "nullable": True, "metadata": {}})
-        shape = type(RECORD).fromJson(schema)
-        if generation < 0:
-            return self.spark.createDataFrame([], shape)
-        return self.spark.read.schema(shape).parquet(self._folder(generation))
+        """Every stored record, with the order of its append in ``run``."""
+        folder = self._folder(self.generation())
+        if not list_names(self.spark, folder):
+            return self.spark.createDataFrame([], STORED)
+        return self.spark.read.schema(STORED).parquet(folder).select(*STORED.fieldNames())
 
     def latest(self) -> DataFrame:
         """One record per id: the last of the last run."""
         return latest_per_id(self.records(), order=F.struct("run", "seq")).drop("run")
 
-    def append(self, records: DataFrame) -> None:
-        # Runs are ordered by the clock of the driver that appends them.
-        stamped = records.select(*RECORD.fieldNames()).withColumn("run", F.lit(time.time_ns() // 1000))
-        stamped.write.mode("append").parquet(self._folder(max(self._generation(), 0)))
+    def append(self, records: DataFrame, tag: str | None = None) -> None:
+        """Add records; appending under the same ``tag`` again replaces it.
+
+        Runs are ordered by the clock of the driver that appends them.
+        """
+        run = time.time_ns() // 1000
+        stamped = records.select(*RECORD.fieldNames()).withColumn("run", F.lit(run))
+        stamped.write.mode("overwrite").parquet(f"{self._folder(self.generation())}/append={tag or run}")
 
     def merge(self, records: DataFrame) -> None:
         """Replace records by id; the new generation is sorted by id."""
         merged = merge_records(records.select(*RECORD.fieldNames()), self.latest())
         stamped = sorted_by_id(merged).withColumn("run", F.lit(time.time_ns() // 1000))
-        stamped.write.mode("errorifexists").parquet(self._folder(self._generation() + 1))
+        # Overwrites nothing but the leavings of a merge that never committed.
+        stamped.write.mode("overwrite").parquet(f"{self._folder(self.generation() + 1)}/append={BASE}")
+
+    def compact(self) -> None:
+        """Fold all appends into a new generation with one record per id."""
+        self.merge(self.spark.createDataFrame([], RECORD))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Last record per id of a JSON-lines label file; none if it is missing."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], RECORD)
-    lines = read_lines(spark, path, 16_384)
+    lines = settle(read_lines(spark, path, 16_384), "fail", "labels")
     record = F.from_json("line", RECORD, {"mode": "FAILFAST"})
     parsed = lines.select("seq", record.alias("r")).select("seq", *[f"r.{c}" for c in RECORD.fieldNames() if c != "seq"])
     return latest_per_id(parsed)
@@ -84,7 +88,7 @@ def write_labels(records: DataFrame, path: str) -> None:
 
 def read_ledger_lines(spark: SparkSession, path: str, name: str, version: int) -> DataFrame:
     """All ledger lines; fields the import does not use fall away."""
-    lines = read_lines(spark, path, 65_536)
+    lines = settle(read_lines(spark, path, 65_536), "fail", "ledger")
     parsed = lines.select("seq", F.from_json("line", LEDGER, {"mode": "FAILFAST"}).alias("r")).select("seq", "r.*")
     foreign = parsed.filter(~(F.col("ledger").eqNullSafe(name) & F.col("ledger_version").eqNullSafe(version))).select("seq").first()
     if foreign is not None:

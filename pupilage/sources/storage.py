@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pupilage.config import DataError
 
 
+_local_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read, as named by ``spark.checkpoint.dir``.
 
@@ -20,9 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise DataError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="pupilage-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="pupilage-"))
+    return _local_folder[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -43,7 +46,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly under a folder; none if it does not exist."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []

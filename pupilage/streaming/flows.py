@@ -38,14 +38,15 @@ def quarantine_stream(lines: DataFrame, student: Student) -> DataFrame:
 def upsert_labels(records: DataFrame, store: LabelStore, checkpoint: str) -> DataStreamWriter:
     """Keep ``store`` current from a stream of teacher records.
 
-    A micro-batch that is replayed merges the same records again, which
-    changes nothing: merging is idempotent.
+    Each micro-batch is one append named by its batch id, so its cost follows
+    the batch and a replayed batch replaces itself. Readers see the last
+    record per id; ``store.compact()`` folds the appends now and then.
     """
 
-    def merge(batch: DataFrame, _batch_id: int) -> None:
-        store.merge(latest_per_id(batch))
+    def append(batch: DataFrame, batch_id: int) -> None:
+        store.append(latest_per_id(batch), tag=f"stream-{batch_id:012d}")
 
-    return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return records.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
 
 
 def pending_stream(rows: DataFrame, labels: DataFrame, spec: TaskSpec) -> DataFrame:
