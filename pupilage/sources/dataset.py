@@ -59,7 +59,7 @@ def parse_rows(lines: DataFrame, spec: TaskSpec) -> DataFrame:
                 )
             ),
             F.when(F.col("_doc").isNull(), F.array().cast("array<string>")).otherwise(
-                F.coalesce(input_violations(F.col("_input"), spec.fields), F.array(F.lit("input is required")))
+                input_violations(F.col("_input"), spec.fields)
             ),
         ).alias("_found"),
     )
