@@ -62,17 +62,17 @@ def tokenize(spark, folder):
 
 @query
 def rendered_input(spark, folder):
-    return t.document_rows(spark, folder).select("id", F.sha2(identity.rendered(t.DOCUMENTS.fields), 256).alias("rendered_hash"))
+    return t.document_inputs(spark, folder).select("id", F.sha2(identity.rendered(t.DOCUMENTS.fields), 256).alias("rendered_hash"))
 
 
 @query
 def content_hash(spark, folder):
-    return t.hashed_documents(spark, folder).select("id", "content_hash")
+    return t.hashed_inputs(spark, folder).select("id", "content_hash")
 
 
 @query
 def unit_interval(spark, folder):
-    return t.document_rows(spark, folder).select("id", hashing.unit_interval(F.col("id")).alias("u"))
+    return t.document_inputs(spark, folder).select("id", hashing.unit_interval(F.col("id")).alias("u"))
 
 
 @query
@@ -268,7 +268,7 @@ def first_pending(spark, folder):
 
 @query
 def request_table(spark, folder):
-    hashed = t.hashed_documents(spark, folder)
+    hashed = t.hashed_inputs(spark, folder)
     asked = records.request_table(hashed, t.DOCUMENTS, identity.rendered(t.DOCUMENTS.fields))
     return asked.select(
         "seq", "id", "question_hash", "question_type", F.array_join("options", " | ").alias("options"), F.sha2("state", 256).alias("state_hash")
@@ -288,7 +288,7 @@ def labeling_summary(spark, folder):
 @query
 def usage(spark, folder):
     """Input tokens of a request are the words of its text."""
-    asked = t.hashed_documents(spark, folder).select("id", F.size(words(F.col("input.text"))).alias("input_tokens"))
+    asked = t.document_inputs(spark, folder).select("id", F.size(words(F.col("input.text"))).alias("input_tokens"))
     return records.usage(t.document_records(spark, folder).select("id", "teacher").join(asked, "id"))
 
 
@@ -344,12 +344,12 @@ def import_summary(spark, folder):
 
 @query
 def unknown_ledger_ids(spark, folder):
-    return ledger.unknown_ledger_ids(records.latest_per_id(ledger_lines(spark, folder)), t.document_rows(spark, folder))
+    return ledger.unknown_ledger_ids(records.latest_per_id(ledger_lines(spark, folder)), t.document_inputs(spark, folder))
 
 
 @query
 def missing_rows(spark, folder):
-    return ledger.missing_rows(t.document_rows(spark, folder), records.latest_per_id(ledger_lines(spark, folder)))
+    return ledger.missing_rows(t.document_inputs(spark, folder), records.latest_per_id(ledger_lines(spark, folder)))
 
 
 @query
@@ -607,7 +607,7 @@ def dense_features(spark, folder):
 @query
 def scored_representations(spark, folder):
     """A user's batch scorer, run once per distinct document content."""
-    rows = t.hashed_documents(spark, folder)
+    rows = t.hashed_inputs(spark, folder)
 
     def scorer(batches):
         for frame in batches:
@@ -623,7 +623,7 @@ def scored_representations(spark, folder):
 @query
 def attach_features(spark, folder):
     """Per distinct content one feature, looked up again for every row."""
-    rows = t.hashed_documents(spark, folder)
+    rows = t.hashed_inputs(spark, folder)
     cache = features.distinct_content(rows).select("content_hash", F.size(words(F.col("input.text"))).cast("bigint").alias("n_tokens"))
     return features.attach_features(rows.select("id", "content_hash"), cache)
 

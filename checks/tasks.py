@@ -78,23 +78,34 @@ def true_label() -> Column:
     return F.when(F.col("toxic") == 1, F.lit(2)).when(F.col("quality") == 1, F.lit(0)).otherwise(F.lit(1))
 
 
+def document_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """(seq, id, input) of all documents; row-local."""
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("seq"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.struct("text", "lang").alias("input")
+    )
+
+
+def hashed_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    return with_content_hash(document_inputs(spark, folder), DOCUMENTS.fields)
+
+
+def with_gold(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Adds the (empty) group and the human label of a quarter of the labelled rows."""
+    truth = table(spark, folder, "labels").select(F.col("doc_id").alias("seq"), true_label().alias("truth"))
+    is_gold = F.col("truth").isNotNull() & (chance("gold", F.col("id")) < GOLD_SHARE)
+    gold = F.when(is_gold, name_at(DOCUMENTS.label_names, F.col("truth")))
+    return rows.join(truth, "seq", "left").select(*rows.columns, F.lit(None).cast("string").alias("group"), gold.alias("gold"))
+
+
 def document_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(seq, id, input, group, gold) of all documents."""
-    truth = table(spark, folder, "labels").select("doc_id", true_label().alias("truth"))
-    key = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
-    is_gold = F.col("truth").isNotNull() & (chance("gold", F.col("id")) < GOLD_SHARE)
-    joined = table(spark, folder, "documents").join(truth, "doc_id", "left").withColumn("id", key)
-    return joined.select(
-        F.col("doc_id").alias("seq"),
-        "id",
-        F.struct("text", "lang").alias("input"),
-        F.lit(None).cast("string").alias("group"),
-        F.when(is_gold, name_at(DOCUMENTS.label_names, F.col("truth"))).alias("gold"),
-    )
+    return with_gold(document_inputs(spark, folder), spark, folder)
 
 
 def hashed_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return with_content_hash(document_rows(spark, folder), DOCUMENTS.fields)
+    """(seq, id, content_hash, group, gold): texts are hashed where they are
+    read, so only hashes take part in the joins."""
+    return with_gold(hashed_inputs(spark, folder).select("seq", "id", "content_hash"), spark, folder)
 
 
 def teacher_probabilities(spec: TaskSpec, truth: Column, key: Column) -> Column:
@@ -137,7 +148,7 @@ def records_of(rows: DataFrame, spec: TaskSpec) -> DataFrame:
 
 def document_records(spark: SparkSession, folder: str) -> DataFrame:
     truth = table(spark, folder, "labels").select(F.col("doc_id").alias("seq"), true_label().alias("truth"))
-    rows = hashed_documents(spark, folder).select("seq", "id", "content_hash")
+    rows = hashed_inputs(spark, folder).select("seq", "id", "content_hash")
     return records_of(rows.join(truth, "seq"), DOCUMENTS)
 
 

@@ -130,8 +130,14 @@ def dense_features(representations: DataFrame, spec: TaskSpec) -> DataFrame:
     return representations.select("content_hash", dense.alias("dense"))
 
 
-def attach_features(rows: DataFrame, cache: DataFrame) -> DataFrame:
-    """Look up cached features by content hash; hot contents stay balanced."""
+def attach_features(rows: DataFrame, cache: DataFrame, distinct: bool = False) -> DataFrame:
+    """Look up cached features by content hash.
+
+    Hot contents stay balanced; rows known to have ``distinct`` contents need
+    no such care and take a plain join.
+    """
+    if distinct:
+        return rows.join(cache, "content_hash", "left").select(*rows.columns, *[c for c in cache.columns if c != "content_hash"])
     return lookup(rows, cache, "content_hash", "id")
 
 
@@ -171,7 +177,8 @@ def feature_vector(descriptor: FeatureDescriptor, spec: TaskSpec) -> Column:
     """The student's vector of a row with ``input`` and, for dense schemes, ``dense``."""
     if descriptor.scheme == "hashed":
         return hashed_vector(spec.fields, descriptor.dimensions)
-    scaled = standardize(F.col("dense"), descriptor.mean, descriptor.sd)
+    missing = F.raise_error(F.concat(F.lit("no representation for content "), F.col("content_hash"))).cast("array<double>")
+    scaled = standardize(F.coalesce("dense", missing), descriptor.mean, descriptor.sd)
     if descriptor.scheme != "hybrid":
         return array_to_vector(scaled)
     return hybrid_vector(scaled, descriptor.dense, spec.fields, descriptor.dimensions - descriptor.dense)
@@ -187,14 +194,15 @@ def with_features(rows: DataFrame, descriptor: FeatureDescriptor, spec: TaskSpec
 
 
 def describe_features(train: DataFrame, spec: TaskSpec, cache: DataFrame | None, fingerprint: str | None) -> FeatureDescriptor:
-    """Descriptor for the task's scheme, with statistics of the training rows."""
+    """Descriptor for the task's scheme, with statistics of the training rows,
+    whose contents are distinct."""
     scheme = spec.student.features
     if scheme == "hashed":
         return FeatureDescriptor("hashed", spec.student.hash_dimensions)
     if cache is None or not fingerprint:
         raise TrainingError(f"{scheme} features need representations and their fingerprint")
-    rows = attach_features(train.select("id", "content_hash"), cache)
-    widest = rows.agg(F.max(F.size("dense")).alias("n")).first()["n"]
+    rows = attach_features(train.select("id", "content_hash"), cache, distinct=True)
+    widest = cache.agg(F.max(F.size("dense")).alias("n")).first()["n"]
     size = dense_size(scheme, len(spec.labels), widest or 0)
     mean, sd = collect_statistics(rows, "dense", size)
     total = size + (spec.student.hash_dimensions if scheme == "hybrid" else 0)

@@ -58,8 +58,8 @@ def field_violations(document: Column, field: InputField) -> list[Column]:
     ]
 
 
-def input_violations(json_text: Column, fields: tuple[InputField, ...]) -> Column:
-    document = F.try_parse_json(json_text)
+def input_violations(document: Column, json_text: Column, fields: tuple[InputField, ...]) -> Column:
+    """Messages for one input, given as a variant and as its JSON text."""
     is_object = F.coalesce(F.schema_of_variant(document).startswith("OBJECT"), F.lit(False))
     unknown = undeclared_keys(json_text, [f.name for f in fields])
     messages = [F.when(F.size(unknown) > 0, F.concat(F.lit("undeclared field(s) "), F.array_join(unknown, ", ")))]
@@ -70,15 +70,22 @@ def input_violations(json_text: Column, fields: tuple[InputField, ...]) -> Colum
 
 
 def validate_input(df: DataFrame, fields: tuple[InputField, ...], json_col: str = "input") -> DataFrame:
-    return df.withColumn("violations", input_violations(F.col(json_col), fields))
+    """Adds ``violations``; each text is parsed once, in a column of its own."""
+    opened = df.withColumn("_document", F.try_parse_json(F.col(json_col)))
+    return opened.withColumn("violations", input_violations(F.col("_document"), F.col(json_col), fields)).drop("_document")
 
 
-def parse_input(json_text: Column, fields: tuple[InputField, ...]) -> Column:
-    """Struct of the declared fields, in declared order."""
-    document = F.try_parse_json(json_text)
+def parse_input(document: Column, fields: tuple[InputField, ...]) -> Column:
+    """Struct of the declared fields of a variant, in declared order."""
     return F.struct(*[typed_value(document, f).alias(f.name) for f in fields])
 
 
+def with_parsed_input(df: DataFrame, fields: tuple[InputField, ...], json_col: str = "input") -> DataFrame:
+    """Replaces a JSON text column by the struct of its declared fields."""
+    opened = df.withColumn("_document", F.try_parse_json(F.col(json_col)))
+    return opened.withColumn(json_col, parse_input(F.col("_document"), fields)).drop("_document")
+
+
 def validate_rows(df: DataFrame, spec: TaskSpec) -> DataFrame:
     """Checks id form, declared gold label and group length."""
     size = F.length("group")

@@ -9,7 +9,7 @@ from pupilage.config import MAX_STUDENTS, DataError, ModelError
 from pupilage.operators.features import with_features
 from pupilage.operators.identity import with_content_hash
 from pupilage.operators.student import prediction_rows, with_probabilities
-from pupilage.operators.validation import parse_input, settle, validate_input
+from pupilage.operators.validation import settle, validate_input, with_parsed_input
 from pupilage.sources.models import Student, check_compatible
 
 
@@ -26,7 +26,7 @@ def predict_json(requests: DataFrame, student: Student, on_error: str = "fail")
     """Predictions of (seq, id, input) rows whose input is JSON text."""
     fields = student.spec.fields
     clean = settle(validate_input(requests, fields), on_error, "requests")
-    return predict(clean.withColumn("input", parse_input(F.col("input"), fields)), student)
+    return predict(with_parsed_input(clean, fields), student)
 
 
 def registry(students: list[Student]) -> dict[str, Student]:

@@ -42,7 +42,11 @@ def parse_rows(lines: DataFrame, spec: TaskSpec) -> DataFrame:
         kind = F.schema_of_variant(F.variant_get("_doc", f"$.{key}", "variant"))
         return F.when(kind.isNotNull() & ~kind.isin("STRING", "VOID"), F.lit(f"{key} must be of type string"))
 
-    opened = lines.withColumn("_doc", document).withColumn("_input", F.to_json(F.variant_get("_doc", "$.input", "variant")))
+    opened = (
+        lines.withColumn("_doc", document)
+        .withColumn("_input", F.variant_get("_doc", "$.input", "variant"))
+        .withColumn("_input_text", F.to_json("_input"))
+    )
     shaped = opened.select(
         "seq",
         text("id").alias("id"),
@@ -59,7 +63,7 @@ def parse_rows(lines: DataFrame, spec: TaskSpec) -> DataFrame:
                 )
             ),
             F.when(F.col("_doc").isNull(), F.array().cast("array<string>")).otherwise(
-                input_violations(F.col("_input"), spec.fields)
+                input_violations(F.col("_input"), F.col("_input_text"), spec.fields)
             ),
         ).alias("_found"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from pupilage.config import TaskSpec
 from pupilage.operators.records import latest_per_id
-from pupilage.operators.validation import input_violations, parse_input
+from pupilage.operators.validation import validate_input, with_parsed_input
 from pupilage.plans.score import predict
 from pupilage.sources.models import Student
 from pupilage.sources.records import LabelStore
@@ -16,7 +16,7 @@ from pupilage.sources.records import LabelStore
 
 def checked_stream(lines: DataFrame, student: Student) -> DataFrame:
     """JSON-text inputs with their violations; stateless."""
-    return lines.withColumn("violations", input_violations(F.col("input"), student.spec.fields))
+    return validate_input(lines, student.spec.fields)
 
 
 def score_stream(lines: DataFrame, student: Student) -> DataFrame:
@@ -27,7 +27,7 @@ def score_stream(lines: DataFrame, student: Student) -> DataFrame:
     """
     fields = student.spec.fields
     valid = checked_stream(lines, student).filter(F.size("violations") == 0)
-    return predict(valid.select("id", parse_input(F.col("input"), fields).alias("input")), student)
+    return predict(with_parsed_input(valid.select("id", "input"), fields), student)
 
 
 def quarantine_stream(lines: DataFrame, student: Student) -> DataFrame:
