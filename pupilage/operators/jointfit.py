@@ -85,10 +85,15 @@ def _unpack(x: np.ndarray, classes: int, dimensions: int) -> LinearModel:
     return LinearModel(x[: classes * dimensions].reshape(classes, dimensions), x[classes * dimensions :])
 
 
-def joint_sums(rows: DataFrame, points: list[np.ndarray], jobs: list[Job], classes: int, dimensions: int) -> list[tuple[float, np.ndarray]]:
+def joint_sums(rows: DataFrame, points: list[np.ndarray], jobs: list[Job], classes: int, dimensions: int, parts: int | None = None) -> list[tuple[float, np.ndarray]]:
     """Loss and gradient sums of all jobs in one pass over (features,
-    label_index, fold). The shuffle carries at most one cell per parameter and
-    task; the driver receives the summed parameters only."""
+    label_index, fold).
+
+    Each task sends at most one cell per parameter. The cells are added up in
+    a shuffle, so the driver receives the summed parameters only; with so few
+    tasks (``parts``) that all their cells fit the parameter bound, the driver
+    adds them itself.
+    """
     size = classes * (dimensions + 1)
     shared = rows.sparkSession.sparkContext.broadcast((points, [(j.left_out, np.array(j.weights)) for j in jobs]))
 
@@ -115,10 +120,12 @@ def joint_sums(rows: DataFrame, points: list[np.ndarray], jobs: list[Job], class
         yield pa.RecordBatch.from_pydict({"cell": pa.array(cell.astype(np.int64)), "value": pa.array(flat[cell])})
 
     partial = rows.select("features", "label_index", "fold").mapInArrow(sums, "cell bigint, value double")
-    table = partial.groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+    length = len(jobs) * (size + 1)
+    if parts is None or parts * length > MAX_PARAMETERS:
+        partial = partial.groupBy("cell").agg(F.sum("value").alias("value"))
+    table = partial.toArrow()
     shared.unpersist()
-    flat = np.zeros(len(jobs) * (size + 1))
-    flat[table.column("cell").to_numpy()] = table.column("value").to_numpy()
+    flat = np.bincount(table.column("cell").to_numpy(), table.column("value").to_numpy(), length)
     return [(float(part[-1]), part[:-1]) for part in flat.reshape(len(jobs), size + 1)]
 
 
@@ -127,6 +134,7 @@ def fit_many(rows: DataFrame, jobs: list[Job], classes: int, dimensions: int) ->
     size = classes * (dimensions + 1)
     at_once = max(1, MAX_PARAMETERS // size)
     penalty = np.concatenate([np.ones(classes * dimensions), np.zeros(classes)])
+    parts = rows.rdd.getNumPartitions()
     models: list[LinearModel] = []
     for start in range(0, len(jobs), at_once):
         chunk = jobs[start : start + at_once]
@@ -136,7 +144,7 @@ def fit_many(rows: DataFrame, jobs: list[Job], classes: int, dimensions: int) ->
             if not active:
                 break
             points = [descents[i].trial() for i in active]
-            found = joint_sums(rows, points, [chunk[i] for i in active], classes, dimensions)
+            found = joint_sums(rows, points, [chunk[i] for i in active], classes, dimensions, parts)
             for i, point, (loss, gradient) in zip(active, points, found):
                 penalized = point * penalty
                 f = loss / chunk[i].total + 0.5 * chunk[i].l2 * float(penalized @ penalized)

@@ -23,6 +23,7 @@ EPSILON = 1e-8
 PROBABILITY_FLOOR = 1e-12
 
 MAX_ITERATIONS = 200
+ROWS_PER_TASK = 500
 TOLERANCE = 1e-7
 
 
@@ -159,10 +160,14 @@ def loss_and_gradient(rows: DataFrame, model: LinearModel, l2: float) -> tuple[f
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Give a table that sits in a few partitions to all cores; larger tables
-    keep the partitions of their scan."""
+    """Enough partitions to keep all cores busy, but no task under 500 rows.
+
+    Tables larger than that keep the partitions of their scan.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    parts = rows.rdd.getNumPartitions()
+    wanted = min(cores, -(-rows.count() // ROWS_PER_TASK)) if parts < cores else parts
+    return rows.repartition(wanted) if wanted > parts else rows
 
 
 def fit(rows: DataFrame, classes: int, l2: float) -> LinearModel:
