@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,8 @@ RECORD = T.StructType(
         T.StructField("reason", T.StringType()),
     ]
 )
+TOP_N = 100_000
+CHUNK = 1 << 20
 USABLE = ("accepted", "uncertain_to_abstain")
 
 
@@ -95,8 +98,24 @@ def pending(rows: DataFrame, labels: DataFrame, spec: TaskSpec) -> DataFrame:
 
 
 def first_n(df: DataFrame, n: int | None) -> DataFrame:
-    """The first ``n`` rows in order, taken without a global sort."""
-    return df if n is None else df.orderBy("seq").limit(n)
+    """The first ``n`` rows in ``seq`` order (unique, non-negative longs).
+
+    A small ``n`` is a plain top-n. For a large one the rows are not gathered
+    in one task: counts per chunk of sequence numbers find the chunk where
+    the n-th row is, that chunk gives the cut-off, and a filter does the rest.
+    """
+    if n is None:
+        return df
+    if n <= TOP_N:
+        return df.orderBy("seq").limit(n)
+    chunked = df.select("seq", F.floor(F.col("seq") / CHUNK).cast("bigint").alias("chunk"))
+    counts = chunked.groupBy("chunk").agg(F.count(F.lit(1)).alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    edge = upto.filter(F.col("upto") >= n).orderBy("chunk").first()
+    if edge is None:
+        return df
+    inside = chunked.filter(F.col("chunk") == edge["chunk"]).orderBy("seq").limit(n - edge["upto"] + edge["c"])
+    return df.filter(F.col("seq") <= inside.agg(F.max("seq").alias("last")).first()["last"])
 
 
 def pending_requests(rows: DataFrame, labels: DataFrame, spec: TaskSpec, limit: int | None = None) -> DataFrame:

@@ -243,6 +243,41 @@ def probabilities(model: LinearModel, spark: SparkSession, features: Column | st
     return F.arrow_udf(score, "array<double>")(F.col(features) if isinstance(features, str) else features)
 
 
+def many_probabilities(models: list[LinearModel], spark: SparkSession) -> Column:
+    """Probabilities of every model for one ``features`` column, in one go."""
+    shared = spark.sparkContext.broadcast([(m.weights, m.bias) for m in models])
+
+    def score(vectors: pa.Array) -> pa.Array:
+        cells, n = _cells(vectors), len(vectors)
+        parts = [_probabilities(cells, n, weights, bias) for weights, bias in shared.value]
+        inner = np.cumsum(np.tile([p.shape[1] for p in parts], n))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], inner]).astype(np.int32)), pa.array(np.concatenate(parts, axis=1).ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(parts)), lists)
+
+    return F.arrow_udf(score, "array<array<double>>")("features")
+
+
+def chosen_probabilities(models: list[LinearModel], spark: SparkSession) -> Column:
+    """Probabilities of the model each row picks by its position ``which``."""
+    shared = spark.sparkContext.broadcast([(m.weights, m.bias) for m in models])
+
+    def score(vectors: pa.Array, which: pa.Array) -> pa.Array:
+        row, index, value = _cells(vectors)
+        picked = which.to_numpy(zero_copy_only=False)
+        found: list = [None] * len(picked)
+        for position in np.unique(picked):
+            rows = np.flatnonzero(picked == position)
+            place = np.full(len(picked), -1)
+            place[rows] = np.arange(len(rows))
+            mine = place[row] >= 0
+            p = _probabilities((place[row[mine]], index[mine], value[mine]), len(rows), *shared.value[position])
+            for at, values in zip(rows, p):
+                found[at] = values
+        return pa.array(found, pa.list_(pa.float64()))
+
+    return F.arrow_udf(score, "array<double>")("features", "which")
+
+
 def with_probabilities(df: DataFrame, model: LinearModel, alias: str = "p") -> DataFrame:
     return df.withColumn(alias, probabilities(model, df.sparkSession))
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pupilage.config import MAX_STUDENTS, DataError, ModelError
+from pupilage.functions.probability import index_of, served_label
 from pupilage.operators.features import with_features
 from pupilage.operators.identity import with_content_hash
-from pupilage.operators.student import prediction_rows, with_probabilities
+from pupilage.operators.jointfit import MAX_PARAMETERS
+from pupilage.operators.student import chosen_probabilities, many_probabilities, prediction_rows, with_probabilities
 from pupilage.operators.validation import settle, validate_input, with_parsed_input
 from pupilage.sources.models import Student, check_compatible
 
@@ -44,22 +46,56 @@ def student_list(students: dict[str, Student], spark) -> DataFrame:
     return spark.createDataFrame(rows, "name string, version string, teacher string, features string")
 
 
+def shared_passes(students: dict[str, Student]) -> list[list[Student]]:
+    """Students that read the same features score in one pass over the rows,
+    as long as their weights together stay within the broadcast bound."""
+    passes: list[list[Student]] = []
+    sizes: list[int] = []
+    for _, student in sorted(students.items()):
+        kind = (student.features, student.spec.fields)
+        size = student.model.weights.size
+        for i, group in enumerate(passes):
+            if (group[0].features, group[0].spec.fields) == kind and sizes[i] + size <= MAX_PARAMETERS:
+                group.append(student)
+                sizes[i] += size
+                break
+        else:
+            passes.append([student])
+            sizes.append(size)
+    return passes
+
+
 def score_many(rows: DataFrame, students: dict[str, Student], name_col: str | None = None, on_unknown: str = "fail") -> DataFrame:
-    """Score rows with every student, or with the one each row names.
+    """Score rows with every (hashed) student, or with the one each row names.
 
-    One branch per student (at most 64), so a task holds one student's weights
-    at a time; branches are plain unions over the same scan.
+    ``on_unknown`` says what happens to rows naming nobody: fail or drop.
     """
     if not students:
         raise ModelError("no students")
+    if any(s.features.scheme != "hashed" for s in students.values()):
+        raise ModelError("students with dense features are served one by one, with their representations")
     if name_col is not None and on_unknown == "fail":
         unknown = rows.filter(~F.coalesce(F.col(name_col).isin(*students), F.lit(False))).select(name_col).first()
         if unknown is not None:
             raise DataError(f"unknown classifier {unknown[name_col]}")
+    spark = rows.sparkSession
     parts = []
-    for name, student in sorted(students.items()):
-        mine = rows if name_col is None else rows.filter(F.col(name_col) == name)
-        parts.append(predict(mine, student))
+    for group in shared_passes(students):
+        names = [s.spec.name for s in group]
+        models = [s.model for s in group]
+        mine = rows if name_col is None else rows.filter(F.col(name_col).isin(*names))
+        featured = with_features(mine, group[0].features, group[0].spec).select("id", "features", *([] if name_col is None else [name_col]))
+        if name_col is None:
+            scored = featured.select("id", F.posexplode(many_probabilities(models, spark)).alias("which", "p"))
+        else:
+            which = featured.withColumn("which", index_of(names, F.col(name_col)))
+            scored = which.select("id", "which", chosen_probabilities(models, spark).alias("p"))
+        served = F.lit(None)
+        for position, student in reversed(list(enumerate(group))):
+            spec = student.spec
+            answer = F.struct(F.lit(spec.name).alias("classifier"), F.lit(spec.version).alias("version"), served_label(F.col("p"), spec).alias("s"))
+            served = answer if position == len(group) - 1 else F.when(F.col("which") == position, answer).otherwise(served)
+        parts.append(scored.select("id", served.alias("served")).select("id", "served.classifier", "served.version", "served.s.*"))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -209,3 +209,28 @@ def test_latest_survives_repartition(spark):
 def test_hash_follows_the_declared_fields(spark):
     spec = task()
     assert with_content_hash(pool(spark, spec, 1).drop("content_hash"), spec.fields).first()["content_hash"]
+
+
+def test_large_first_n_cuts_at_the_same_row(spark, monkeypatch):
+    monkeypatch.setattr(records, "TOP_N", 3)
+    monkeypatch.setattr(records, "CHUNK", 16)
+    df = spark.createDataFrame([(i * 3, f"r{i}") for i in range(60)], "seq bigint, id string").repartition(5)
+    for n in (1, 4, 17, 33, 60, 99):
+        assert ids(records.first_n(df, n)) == {f"r{i}" for i in range(min(n, 60))}
+
+
+def test_latency_positions_with_ties(spark):
+    import random
+
+    from pupilage.operators.latency import latency_summary
+
+    random.seed(8)
+    data = [("hot", float(random.choice([1, 1, 1, 2, 3, 50]))) for _ in range(5000)] + [("one", 4.0), ("two", 1.0), ("two", 9.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(6)
+    found = {r["g"]: r for r in latency_summary(df, "g", "v", (0.0, 0.5, 0.95, 1.0)).collect()}
+    for group in ("hot", "one", "two"):
+        values = sorted(v for g, v in data if g == group)
+        for q, column in ((0.0, "p0"), (0.5, "p50"), (0.95, "p95"), (1.0, "p100")):
+            assert found[group][column] == values[min(len(values) - 1, int(len(values) * q))]
+        assert (found[group]["n"], found[group]["min"], found[group]["max"]) == (len(values), values[0], values[-1])
+    assert set(found) == {"hot", "one", "two"}
