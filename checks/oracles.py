@@ -487,6 +487,12 @@ FROM scored s JOIN balance b ON s.label = b.label WHERE s.c = s.label"""
 
 ORACLES["gradient_at_zero"] = gradient(scored("0.0::DOUBLE", "0.0::DOUBLE"))
 ORACLES["gradient_step"] = gradient(RULE)
+ORACLES["adam_step"] = f"""
+SELECT class_index, dimension, round(-0.05::DOUBLE * g / (abs(g) + 1e-8), 6) + 0.0 AS weight FROM (
+  WITH {scored("0.0::DOUBLE", "0.0::DOUBLE")},
+  balance AS (SELECT label, (SELECT count(*) FROM vec_task)::DOUBLE / ((SELECT count(DISTINCT label) FROM vec_task) * count(*)) AS w FROM vec_task GROUP BY 1),
+  errors AS (SELECT s.vec_id, s.c, b.w * (s.p - CASE WHEN s.c = s.label THEN 1 ELSE 0 END) / (SELECT count(*) FROM vec_task) AS g FROM scored s JOIN balance b ON s.label = b.label)
+  SELECT e.c::BIGINT AS class_index, k.dimension, sum(e.g * k.v) AS g FROM errors e JOIN cells k ON e.vec_id = k.vec_id GROUP BY 1, 2)"""
 ORACLES["predict_probabilities"] = f"WITH {RULE} SELECT vec_id, c::BIGINT AS class_index, {r6('p', 'p')} FROM scored"
 ORACLES["prediction_rows"] = f"""
 WITH {RULE} SELECT b.vec_id, 'vector-class' AS classifier, '1' AS version,
@@ -577,8 +583,11 @@ SELECT "case", answered, answered AND same AS same_choice, CASE WHEN answered TH
 
 def hashed_scores(shift: int) -> str:
     """Probabilities of the rule student over conversation n-grams."""
+    return f"{CONV_UNIT}, {rule_scores(shift)}"
+
+
+def rule_scores(shift: int) -> str:
     return f"""
-{CONV_UNIT},
 classes AS (SELECT unnest(range(0, 3)) AS c),
 logits AS (SELECT r.id, c, coalesce(sum(u.value * (((c + {shift}) * 31 + u.bucket * 7) % 11 - 5) / 10.0::DOUBLE), 0.0) AS z
            FROM conv_task r CROSS JOIN classes LEFT JOIN unit u ON r.id = u.id GROUP BY r.id, c),
@@ -593,6 +602,26 @@ SELECT * FROM (WITH {hashed_scores(shift)} SELECT b.id, '{name}' AS classifier,
 FROM best b JOIN conv_task r ON b.id = r.id WHERE {where})"""
 
 
+ORACLES["evaluate_student"] = f"""
+WITH {CONV_SPLIT}, {tokens('conv_task', 'text', 'text')}, {vectors(512)}, {rule_scores(0)},
+majority AS (SELECT idx FROM kept WHERE split = 'train' GROUP BY 1 ORDER BY count(*) DESC, idx LIMIT 1),
+scored_rows AS (
+  SELECT k.id, k.split, k.idx AS ref, list_position({names(t.CONVERSATIONS)}, b.label) - 1 AS pred, r.content_hash IS NOT NULL AS current,
+         list_position({names(t.CONVERSATIONS)}, r.teacher_label) - 1 AS raw, list_position({names(t.CONVERSATIONS)}, r.label) - 1 AS gated
+  FROM kept k JOIN best b ON k.id = b.id LEFT JOIN records r ON k.id = r.id AND k.content_hash = r.content_hash WHERE k.split <> 'train'),
+pairs AS (
+  SELECT position, ref, pred FROM scored_rows, (SELECT unnest([0, 1]) AS position) WHERE split = 'holdout'
+  UNION ALL SELECT 2, ref, (SELECT idx FROM majority) FROM scored_rows WHERE split = 'holdout'
+  UNION ALL SELECT position, ref, pred FROM scored_rows, (SELECT unnest([3, 4]) AS position) WHERE split = 'gold'
+  UNION ALL SELECT 5, ref, raw FROM scored_rows WHERE split = 'gold' AND raw IS NOT NULL
+  UNION ALL SELECT 6, ref, gated FROM scored_rows WHERE split = 'gold' AND gated IS NOT NULL
+  UNION ALL SELECT 8, ref, (SELECT idx FROM majority) FROM scored_rows WHERE split = 'gold'),
+by_class AS (
+  SELECT position, i, count(*) FILTER (ref = i) AS support, count(*) FILTER (pred = i) AS guessed, count(*) FILTER (ref = i AND pred = i) AS hits
+  FROM pairs, (SELECT unnest(range(0, 3)) AS i) GROUP BY 1, 2),
+by_f1 AS (SELECT *, CASE WHEN hits = 0 THEN 0.0 ELSE 2.0 * hits / (guessed + support) END AS f1 FROM by_class)
+SELECT position::BIGINT AS position, sum(support)::BIGINT AS n, {r6('sum(hits)::DOUBLE / sum(support)', 'accuracy')}, {r6('avg(f1) FILTER (support > 0)', 'macro_f1')}
+FROM by_f1 GROUP BY 1"""
 ORACLES["score_many"] = f"{served(0, 'first')} UNION ALL {served(1, 'second')}"
 ORACLES["score_named"] = f"""{served(0, 'first', "role = 'user'")} UNION ALL {served(1, 'second', "role <> 'user'")}"""
 ORACLES["write_predictions"] = f"WITH {hashed_scores(0)} SELECT id, label, label AS argmax, false AS abstained FROM best"

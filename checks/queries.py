@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 import numpy as np
@@ -699,6 +700,16 @@ def gradient_step(spark, folder):
     return gradient_table(spark, folder, rule_model())
 
 
+@query
+def adam_step(spark, folder):
+    """The parity mode after one epoch from zero; the bias is left out, since
+    balanced weights make its first gradient zero."""
+    rows = student.weighted_rows(vector_features(spark, folder), 10, "balanced")
+    model, _ = student.fit_adam(rows, 10, 64, 0.01, 1, 0.05)
+    weights = spark.createDataFrame(models.weight_table(model)).filter(F.col("index") >= 0)
+    return weights.select(F.col("class").cast("bigint").alias("class_index"), F.col("index").cast("bigint").alias("dimension"), r6("weight").alias("weight"))
+
+
 def rule_scored(spark: SparkSession, folder: str) -> DataFrame:
     return student.with_probabilities(vector_features(spark, folder), rule_model())
 
@@ -852,7 +863,7 @@ def fit_predict(spark, folder):
     """Fit on the training rows of the documents task, predict all documents."""
     spec = t.DOCUMENTS
     rows = t.document_rows(spark, folder)
-    _, kept = training.split_rows(rows, t.document_records(spark, folder), spec)
+    kept = training.split_rows(rows, t.document_records(spark, folder), spec).kept
     placed = kept.filter(F.col("split") == "train").join(rows.select("id", "input"), "id")
     descriptor = features.FeatureDescriptor("hashed", spec.student.hash_dimensions)
     result = student.fit_student(features.with_features(placed, descriptor, spec), spec, descriptor.dimensions, spec.student.l2)
@@ -899,7 +910,7 @@ def rule_student(spec: TaskSpec, name: str, shift: int) -> models.Student:
     dimensions = spec.student.hash_dimensions
     c, i = np.indices((len(spec.labels), dimensions))
     model = student.LinearModel((((c + shift) * 31 + i * 7) % 11 - 5) / 10.0, np.zeros(len(spec.labels)))
-    named = TaskSpec.from_dict({**__import__("json").loads(spec.to_json()), "name": name})
+    named = dataclasses.replace(spec, name=name)
     return models.Student(named, features.FeatureDescriptor("hashed", dimensions), model, {"teacher": "rule"})
 
 
@@ -921,6 +932,14 @@ def score_named(spark, folder):
     return served.select("id", "classifier", "label", "confidence")
 
 
+@query
+def evaluate_student(spark, folder):
+    """The whole report of a student with known weights on the turns task."""
+    fixed = rule_student(t.CONVERSATIONS, t.CONVERSATIONS.name, 0)
+    found = training.evaluate(fixed, t.conversation_rows(spark, folder), t.conversation_records(spark, folder))
+    return found.report.select(F.col("position").cast("bigint").alias("position"), "n", r6("accuracy").alias("accuracy"), r6("macro_f1").alias("macro_f1"))
+
+
 @query
 def write_predictions(spark, folder):
     path = fresh_path(spark, "predictions")

@@ -14,6 +14,7 @@ from pupilage.operators.validation import (
     undeclared_keys,
     validate_rows,
 )
+from pupilage.sources.storage import materialize
 
 ROW_KEYS = ["id", "input", "group", "gold"]
 
@@ -72,10 +73,16 @@ def parse_rows(lines: DataFrame, spec: TaskSpec) -> DataFrame:
 
 
 def read_dataset(spark: SparkSession, path: str, spec: TaskSpec, on_error: str = "fail") -> DataFrame:
-    """Validated rows (seq, id, input, group, gold)."""
-    rows = parse_rows(read_lines(spark, path, spec.dataset.max_line_bytes), spec)
-    if spec.dataset.max_rows is not None and rows.select("seq").limit(spec.dataset.max_rows + 1).count() > spec.dataset.max_rows:
-        raise DataError(f"more than {spec.dataset.max_rows} rows; raise the configured bound deliberately")
+    """Validated rows (seq, id, input, group, gold).
+
+    The lines are parsed once into a columnar table in the shared folder; the
+    checks and all later passes read that.
+    """
+    parsed = parse_rows(read_lines(spark, path, spec.dataset.max_line_bytes), spec)
+    rows = materialize(parsed, "dataset")
+    bound = spec.dataset.max_rows
+    if bound is not None and rows.count() > bound:
+        raise DataError(f"more than {bound} rows; raise the configured bound deliberately")
     result = settle(rows, on_error, "dataset")
     if on_error == "fail":
         repeated = duplicate_ids(result).select("id").first()
