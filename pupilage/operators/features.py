@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pupilage.config import DataError, InputField, ModelError, TaskSpec, TrainingError
@@ -92,11 +93,11 @@ def term_counts(df: DataFrame, fields: tuple[InputField, ...], dimensions: int,
 
 
 def l2_normalize(counts: DataFrame, key: str = "id") -> DataFrame:
-    """``log1p(count)`` over the row's L2 norm; rows meet their norm on the
-    partitioning the counts already have."""
+    """``log1p(count)`` over the row's L2 norm; a row has at most as many
+    buckets as there are dimensions."""
     raw = counts.withColumn("raw", F.log1p(F.col("count").cast("double")))
-    norms = raw.groupBy(key).agg(F.greatest(F.sqrt(F.sum(F.col("raw") * F.col("raw"))), F.lit(1e-12)).alias("norm"))
-    return raw.join(norms, key).select(key, "bucket", (F.col("raw") / F.col("norm")).alias("value"))
+    norm = F.greatest(F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key))), F.lit(1e-12))
+    return raw.select(key, "bucket", (F.col("raw") / norm).alias("value"))
 
 
 def distinct_content(rows: DataFrame) -> DataFrame:

@@ -27,16 +27,19 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataF
     broadcast join when ``right`` is small.
     """
     values = [c for c in right.columns if c != key]
-    heavy = (
-        heavy_keys(left, key)
-        .join(right, key, "left")
-        .select(F.col(key), F.lit(True).alias("_heavy"), *[F.col(v).alias(f"_h_{v}") for v in values])
+    keys = heavy_keys(left, key)
+    # Both broadcasts have at most 1000 rows; ``right`` is not shuffled here.
+    known = right.join(F.broadcast(keys), key)
+    heavy = keys.join(F.broadcast(known), key, "left").select(
+        F.col(key), F.lit(True).alias("_heavy"), *[F.col(v).alias(f"_h_{v}") for v in values]
     )
     salt = F.when(
         F.col("_heavy").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int") + 1
     ).otherwise(F.lit(0))
     spread = left.join(F.broadcast(heavy), key, "left").withColumn("_salt", salt)
-    light = right.withColumn("_salt", F.lit(0))
+    # Always 0, but not a literal: the optimizer would turn a literal into a
+    # filter and partition by the key alone.
+    light = right.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(1)).cast("int"))
     joined = spread.join(light, [key, "_salt"], "left")
     return joined.select(
         *[F.col(c) for c in left.columns],
