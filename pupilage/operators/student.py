@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,14 +93,16 @@ def weighted_rows(train: DataFrame, labels: int, mode: str) -> DataFrame:
     return train.join(F.broadcast(class_weights(train, labels, mode)), "label_index")
 
 
-def gradient_sums(rows: DataFrame, model: LinearModel) -> DataFrame:
+def gradient_sums(rows: DataFrame, model: LinearModel, shared: Broadcast | None = None) -> DataFrame:
     """(class, index, gradient, loss, weight) sums over the data, unscaled.
 
     Each task adds up its own rows; the shuffle carries at most one cell per
     class and dimension and task. ``index`` -1 is the bias, and class -1 holds
-    the loss and the total weight.
+    the loss and the total weight. ``shared`` is the model already broadcast,
+    for callers that release it after use.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    if shared is None:
+        shared = rows.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
@@ -141,7 +144,9 @@ def gradient_sums(rows: DataFrame, model: LinearModel) -> DataFrame:
 def loss_and_gradient(rows: DataFrame, model: LinearModel, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
     """Class-weighted mean cross-entropy plus l2/2 |W|^2 (bias free), and its
     gradient. Only the classes x dimensions sums come to the driver."""
-    table = gradient_sums(rows, model).toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    table = gradient_sums(rows, model, shared).toArrow()
+    shared.unpersist()
     klass, index = (table.column(c).to_numpy() for c in ("class", "index"))
     gradient = table.column("gradient").to_numpy()
     loss, total = (float(table.column(c).to_numpy().sum()) for c in ("loss", "weight"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pupilage.config import Abstain, DatasetSettings, Gate, InputField, Label, StudentSettings, TaskSpec
 from pupilage.operators.identity import with_content_hash
@@ -84,4 +83,4 @@ def counts(df: DataFrame) -> dict:
     return df.first().asDict()
 
 
-__all__ = ["F", "counts", "ids", "records_for", "rows_of", "task", "verb_rows"]
+__all__ = ["counts", "ids", "records_for", "rows_of", "task", "verb_rows"]
