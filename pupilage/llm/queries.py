@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pupilage.llm import quality, toxicity
+from pupilage.llm import quality, simhash, suffix, toxicity
 from pupilage.llm.texts import held_out
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.digests(table(spark, folder, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = toxicity.scores(docs, toxicity.fit(docs, table(spark, folder, "labels")), "doc_id")
@@ -25,9 +29,16 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash.grouped(table(spark, folder, "documents"), shingle=4, limit=4)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op9_simhash": op9_simhash,
 }
 #: Queries that SQL can express.
 ORACLES: dict[str, str] = {}
