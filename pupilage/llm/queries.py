@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pupilage.llm import quality, simhash, suffix, toxicity
+from pupilage.llm import edits, quality, simhash, suffix, toxicity
 from pupilage.llm.texts import held_out
 
 
@@ -34,11 +34,16 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return edits.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op9_simhash": op9_simhash,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 #: Queries that SQL can express.
 ORACLES: dict[str, str] = {}
