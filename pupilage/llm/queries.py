@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pupilage.llm import edits, quality, simhash, suffix, toxicity
+from pupilage.llm import chat, edits, packing, quality, sharding, simhash, suffix, toxicity
 from pupilage.llm.texts import held_out
 
 
@@ -29,6 +29,24 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sharding.placements(table(spark, folder, "documents"), shards=40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], given.schema)
+    return chat.read_back(chat.formatted(given.unionAll(added)))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash.grouped(table(spark, folder, "documents"), shingle=4, limit=4)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,6 +60,9 @@ QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_packing": op4_packing,
+    "op6_sharding": op6_sharding,
+    "op7_chat_formatting": op7_chat_formatting,
     "op9_simhash": op9_simhash,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
