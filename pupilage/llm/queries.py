@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pupilage.llm import chat, edits, packing, quality, sharding, simhash, suffix, toxicity
+from pupilage.llm import chat, edits, lattice, packing, quality, sharding, simhash, suffix, toxicity
 from pupilage.llm.texts import held_out
 
 
@@ -47,6 +47,10 @@ def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.formatted(given.unionAll(added)))
 
 
+def op8_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash.grouped(table(spark, folder, "documents"), shingle=4, limit=4)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,6 +67,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_sharding": op6_sharding,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_lattice": op8_lattice,
     "op9_simhash": op9_simhash,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
