@@ -34,6 +34,8 @@ WIDTH = 8
 GRAMS = (3, 4)
 EPOCHS = 6
 BATCH = 32
+#: Small samples are gone through more often, until so many steps are made.
+STEPS = 560
 RATE = 3.0
 
 
@@ -105,8 +107,9 @@ def learn(ids: list[np.ndarray], shares: list[np.ndarray], label: np.ndarray, se
     out = rng.uniform(-0.5, 0.5, (WIDTH, 2)).astype(np.float32)
     bias = np.log(np.array([1 - share, share], np.float32))
     target = np.stack([1 - label, label], 1).astype(np.float32)
-    steps, step = EPOCHS * -(-len(label) // BATCH), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(label)))
+    steps, step = epochs * -(-len(label) // BATCH), 0
+    for _ in range(epochs):
         order = rng.permutation(len(label))
         for at in range(0, len(order), BATCH):
             rate = RATE * (1 - step / steps)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pupilage.llm import chat, edits, lattice, packing, quality, sharding, simhash, suffix, toxicity
+from pupilage.llm import chat, edits, lattice, licenses, packing, quality, sharding, simhash, suffix, toxicity
 from pupilage.llm.texts import held_out
 
 
@@ -35,6 +35,15 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as files of a tree: /source/lang, with every 97th document named as a license file."""
+    docs = table(spark, folder, "documents")
+    name = F.when(F.col("doc_id") % 97 == 0, F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    deep = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/"), (F.col("doc_id") % 50).cast("string"))).otherwise(F.lit(""))
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), deep, F.lit("/"), name)
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.placements(table(spark, folder, "documents"), shards=40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -65,6 +74,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_license_scan": op5_license_scan,
     "op6_sharding": op6_sharding,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_lattice": op8_lattice,

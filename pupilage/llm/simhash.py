@@ -83,7 +83,7 @@ def fingerprint(text: bytes, shingle: int, width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1) -> DataFrame:
-    """``doc_id`` and the fingerprint words ``f0``, ``f1``, ... of every row."""
+    """``doc_id``, ``hash`` of the text and the fingerprint words ``f0``, ``f1``, ... of every row."""
     names = [f"f{k}" for k in range(width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,11 +92,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1) -> DataFrame
             found = np.zeros((batch.num_rows, width), np.uint64)
             for row in range(batch.num_rows):
                 found[row] = fingerprint(data[offsets[row] : offsets[row + 1]].tobytes(), shingle, width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, k].view(np.int64)) for k in range(width))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *(pa.array(found[:, k].view(np.int64)) for k in range(width))], ["doc_id", "hash", *names])
 
-    source = only(docs, "doc_id", "text")
+    source = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("hash"), "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{name} long" for name in names)]))
+    return source.mapInArrow(run, ", ".join([f"doc_id {kind}", "hash long", *(f"{name} long" for name in names)]))
 
 
 def gray_rank(words: np.ndarray) -> list[np.ndarray]:
@@ -210,12 +210,39 @@ def linked(classes: DataFrame, limit: int, width: int) -> DataFrame:
     return by_bucket(spread(keyed, "key", "node"), _links(limit, width), "a long, b long").distinct()
 
 
+def _rooted(prints: DataFrame, limit: int, width: int) -> DataFrame:
+    """The classes with ``first`` (least doc_id) and ``root`` (their component)."""
+    names = [f"f{k}" for k in range(width)]
+    classes = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    roots = components(linked(classes, limit, width))
+    return materialize(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+
+
 def grouped(docs: DataFrame, shingle: int = 4, limit: int = 4, width: int = 1) -> DataFrame:
     """``doc_id``, ``f0``, ... and ``component_id`` (least doc_id of the component) of every row."""
     names = [f"f{k}" for k in range(width)]
     prints = materialize(fingerprints(docs, shingle, width), "fingerprints")
-    classes = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    roots = components(linked(classes, limit, width))
-    placed = materialize(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    placed = _rooted(prints, limit, width)
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(placed.join(least, "root").select(*names, "component_id"), names)
+    return prints.join(placed.join(least, "root").select(*names, "component_id"), names).select("doc_id", *names, "component_id")
+
+
+def limit_for(similarity: float, width: int) -> int:
+    """Differing bits of two texts whose shingle sets have this Jaccard similarity, as expected, and one standard deviation more."""
+    bits = 64 * width
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: the least doc_id, then the least text hash."""
+    names = [f"f{k}" for k in range(width)]
+    prints = materialize(fingerprints(docs, shingle, width), "fingerprints")
+    placed = _rooted(prints, limit_for(similarity, width), width)
+    # Of equal fingerprints one row can stay at most; so few rows are left for the component's choice.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")
+    chosen = prints.groupBy(*names).agg(least).join(placed.select(*names, "root"), names).groupBy("root").agg(F.min("least").alias("least"))
+    chosen = chosen.select(F.col("least.doc_id").alias("_kept_id"), F.col("least.hash").alias("_kept_hash"))
+    rows = docs.withColumn("_hash", F.xxhash64(docs["text"]))
+    kept = rows.join(chosen, (rows["_hash"] == chosen["_kept_hash"]) & rows["doc_id"].eqNullSafe(chosen["_kept_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)

@@ -475,3 +475,39 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.when(gone, 1).otherwise(F.coalesce("count", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, hashlib.sha256().hexdigest()).otherwise(F.coalesce("digest", "sha")).alias("kept_sha256"),
     )
+
+
+def _cuts(column: int, listed: int, gone: int, window: int):
+    """Texts without their ranges, or without anything if they are copies; bytes of characters cut in two go too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = byte_column(batch.column(column))
+            texts = []
+            for row in range(batch.num_rows):
+                own = data[offsets[row] : offsets[row + 1]]
+                ranges = batch.column(listed).slice(row, 1).flatten()
+                if batch.column(gone)[row].is_valid and len(own) >= window:
+                    texts.append("")
+                elif len(ranges):
+                    start, end = _merge(*(ranges.field(name).to_numpy(zero_copy_only=False) for name in ("start", "end")))
+                    texts.append(_rest(own, start, end).decode("utf-8", "ignore"))
+                else:
+                    texts.append(batch.column(column)[row].as_py())
+            columns = [*batch.columns[:column], pa.array(texts, pa.string()), *batch.columns[column + 1 :]]
+            yield pa.RecordBatch.from_arrays(columns[:listed], batch.schema.names[:listed])
+
+    return run
+
+
+def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with every repeated window cut out of ``text``; all rows and columns stay."""
+    ranges, _, once = spans(docs, window)
+    per = ranges.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_of")).agg(F.collect_set(F.struct("start", "end")).alias("_ranges"))
+    copied = once.filter("rows > 1").select(F.col("hash").alias("_copy"), F.col("md5").alias("_md5"), F.col("rows").alias("_rows"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.withColumn("_hash", F.xxhash64(text)).withColumn("_digest", F.md5(text.cast("binary")))
+    rows = rows.join(per, (F.col("_hash") == F.col("_of")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    rows = rows.join(copied, (F.col("_hash") == F.col("_copy")) & (F.col("_digest") == F.col("_md5")), "left").select(*docs.columns, "_ranges", "_rows")
+    width = len(docs.columns)
+    return rows.mapInArrow(_cuts(docs.columns.index("text"), width, width + 1, window), docs.schema)

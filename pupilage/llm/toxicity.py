@@ -33,6 +33,8 @@ TRAIN_ROWS = 6000
 BUCKETS = 1 << 18
 EPOCHS = 40
 BATCH = 256
+#: Small samples are gone through more often, until so many steps are made.
+STEPS = 900
 RATE = 0.1
 DECAY = 2e-6
 #: Chance of a sentence without any known word, as a logit.
@@ -111,7 +113,8 @@ def learn(ids: list[np.ndarray], sizes: list[np.ndarray], label: np.ndarray, see
     rng = np.random.default_rng(seed)
     weights, first, second = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     bias, step = START, 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(label)))
+    for _ in range(epochs):
         order = rng.permutation(len(label))
         for at in range(0, len(order), BATCH):
             step += 1
@@ -129,7 +132,7 @@ def learn(ids: list[np.ndarray], sizes: list[np.ndarray], label: np.ndarray, see
             gradient = np.bincount(bucket, np.repeat(slope, size), BUCKETS) + DECAY * np.sign(weights)
             first += 0.1 * (gradient - first)
             second += 0.01 * (gradient * gradient - second)
-            weights -= RATE * (1 - step / (EPOCHS * len(order) / BATCH + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+            weights -= RATE * (1 - step / (epochs * -(-len(order) // BATCH) + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
             np.maximum(weights, 0, out=weights)
     return ToxicModel(weights.astype(np.float32), bias)
 
