@@ -19,6 +19,7 @@ read.
 from __future__ import annotations
 
 import heapq
+import itertools
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -37,11 +38,11 @@ from pupilage.sources.storage import materialize
 
 WINDOW = 2048
 UNIT = 8
-GRID = 256
+GRID = 512
 END = 1
 DEPTH = 3
 #: Words that a task remembers the ids of.
-MEMORY = 200_000
+MEMORY = 400_000
 
 #: Fixed values of the tokenizer file: its split pattern, and letters that its normaliser treats one by one.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -50,7 +51,7 @@ SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
 class WordTokens:
-    """Ids of whole texts, put together from the ids of words, which are remembered.
+    """Ids of whole texts, put together from the ids of their words, which are remembered.
 
     Texts with letters outside the Latin blocks, control characters or the
     strings of special tokens go to the tokenizer whole.
@@ -60,22 +61,38 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def of(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not PLAIN.fullmatch(text) or any(s in text for s in SPECIAL) or not unicodedata.is_normalized("NFC", text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = WORDS.findall(text.lower())
-        known = self.known
-        new = [word for word in dict.fromkeys(words) if word not in known]
-        if new:
-            if len(known) > MEMORY:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        return b"".join([known[word] for word in words])
+        # White space parts words, so what stands between it can be remembered as a whole.
+        parts = text.lower().split()
+        try:
+            return b"".join(map(self.parts.__getitem__, parts))
+        except KeyError:
+            self._learn(parts)
+            return b"".join(map(self.parts.__getitem__, parts))
+
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of all new words in one call: each stands alone between spaces, so it is the same word there."""
+        if len(self.parts) > MEMORY:
+            self.parts.clear()
+            self.words.clear()
+        new = [part for part in dict.fromkeys(parts) if part not in self.parts]
+        split = [WORDS.findall(part) for part in new]
+        fresh = [word for word in dict.fromkeys(itertools.chain.from_iterable(split)) if word not in self.words]
+        if fresh:
+            found = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
+            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(fresh))
+            if len(sizes) != len(fresh):
+                raise ValueError("the tokenizer cuts words in another way")
+            data, end = np.array(found.ids, "<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+            self.words.update(zip(fresh, (data[a:b] for a, b in zip([0, *end[:-1]], end))))
+        for part, words in zip(new, split):
+            self.parts[part] = b"".join(map(self.words.__getitem__, words))
 
 
 def tokenized(docs: DataFrame, path: str, window: int = WINDOW, grid: int = GRID) -> DataFrame:
