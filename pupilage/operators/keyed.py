@@ -5,30 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are treated as heavy, so a lighter key holds less
-# than 1/1000 of the rows. Their lookup values are broadcast: at most 1000
-# rows of fixed-width or hash columns, whatever the size of either table.
-HEAVY_KEYS = 1000
+from pupilage.sources.storage import materialize
+
+# A key is heavy if it holds more than this share of a shuffle partition's even
+# part of the rows; there are fewer such keys than 4 x partitions, whatever the
+# size of either table, so their lookup values may be broadcast.
+HEAVY_SHARE = 0.25
 SPREAD = 1 << 20
 
 
 def heavy_keys(df: DataFrame, key: str) -> DataFrame:
-    """The (at most 1000) most frequent non-null keys that repeat."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
-    return counts.orderBy(F.col("copies").desc(), F.col(key)).limit(HEAVY_KEYS).select(key)
+    """The non-null keys that hold more than ``HEAVY_SHARE`` of an even partition."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
+    counts = materialize(counts.filter(F.col("copies") > 1), "key-counts")
+    # Keys that occur once only lower the bar; the list stays as short.
+    total = counts.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
+    return counts.filter(F.col("copies") > HEAVY_SHARE * total / parts).select(key)
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataFrame:
     """Left join against ``right``, which has one row per non-null ``key``.
 
-    Rows of heavy keys take their values from a broadcast of at most 1000 rows
-    and are spread over the shuffle by ``spread_by``; all other rows meet
+    Rows of heavy keys take their values from a broadcast of their few rows and
+    are spread over the shuffle by ``spread_by``; all other rows meet
     ``right`` in an ordinary equi-join that the optimizer may turn into a
     broadcast join when ``right`` is small.
     """
     values = [c for c in right.columns if c != key]
     keys = heavy_keys(left, key)
-    # Both broadcasts have at most 1000 rows; ``right`` is not shuffled here.
+    # Both broadcasts have a row per heavy key; ``right`` is not shuffled here.
     known = right.join(F.broadcast(keys), key)
     heavy = keys.join(F.broadcast(known), key, "left").select(
         F.col(key), F.lit(True).alias("_heavy"), *[F.col(v).alias(f"_h_{v}") for v in values]

@@ -28,8 +28,7 @@ RECORD = T.StructType(
         T.StructField("reason", T.StringType()),
     ]
 )
-TOP_N = 100_000
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 USABLE = ("accepted", "uncertain_to_abstain")
 
 
@@ -100,14 +99,14 @@ def pending(rows: DataFrame, labels: DataFrame, spec: TaskSpec) -> DataFrame:
 def first_n(df: DataFrame, n: int | None) -> DataFrame:
     """The first ``n`` rows in ``seq`` order (unique, non-negative longs).
 
-    A small ``n`` is a plain top-n. For a large one the rows are not gathered
-    in one task: counts per chunk of sequence numbers find the chunk where
-    the n-th row is, that chunk gives the cut-off, and a filter does the rest.
+    Rows are not gathered or ordered: counts per chunk of sequence numbers find
+    the chunk where the n-th row is, that chunk (of bounded size) gives the
+    cut-off, and a filter does the rest, where the rows are.
     """
     if n is None:
         return df
-    if n <= TOP_N:
-        return df.orderBy("seq").limit(n)
+    if n <= 0:
+        return df.limit(0)
     chunked = df.select("seq", F.floor(F.col("seq") / CHUNK).cast("bigint").alias("chunk"))
     counts = chunked.groupBy("chunk").agg(F.count(F.lit(1)).alias("c"))
     upto = counts.withColumn("upto", F.sum("c").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from pupilage.config import MAX_CONSECUTIVE_ERRORS, DataError, TaskSpec
 from pupilage.functions.probability import (
@@ -28,7 +29,7 @@ from pupilage.operators.ledger import REASON_LENGTH, gate_reason
 from pupilage.operators.records import first_n, labeling_summary, pending, request_table
 from pupilage.operators.runs import first_stops
 from pupilage.sources.records import LabelStore
-from pupilage.sources.storage import materialize
+from pupilage.sources.storage import fresh_path, materialize
 
 ANSWER = (
     "seq bigint, id string, content_hash string, question_hash string, "
@@ -110,8 +111,9 @@ def label(rows: DataFrame, spec: TaskSpec, teacher: Teacher, store: LabelStore,
           round_rows: int = ROUND_ROWS, state: Column | None = None) -> dict[str, int | str | None]:
     """Label pending rows in rounds, appending each round to ``store``.
 
-    A round is written once and cut at the first run of five errors; the
-    next call resumes from what the store holds. Returns the summary counts.
+    A round has about ``round_rows`` rows; it is written once and cut at the
+    first run of five errors; the next call resumes from what the store holds.
+    Returns the summary counts.
     """
     if spec.teacher.source == "import":
         raise DataError("this task imports its labels; asking a teacher would overwrite them")
@@ -120,12 +122,18 @@ def label(rows: DataFrame, spec: TaskSpec, teacher: Teacher, store: LabelStore,
               "uncertain_to_abstain": 0, "uncertain_dropped": 0, "errors": 0}
     counts["selected"] = counts["pending"] if limit is None else min(limit, counts["pending"])
     # The rows still to ask are fixed before the first round, so errors of this
-    # run are not asked twice in it.
-    todo = materialize(request_table(first_n(pending(rows, store.latest(), spec), limit), spec, view), "requests")
-    stop, after, left = None, -1, counts["selected"]
-    carried = 0
-    while left > 0 and stop is None:
-        asked = first_n(todo.filter(F.col("seq") > after), min(round_rows, left))
+    # run are not asked twice in it. They are written once, by ranges of ``seq``;
+    # a round reads its own folders only and is dealt to all cores.
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    rounds = max(1, -(-counts["selected"] // round_rows))
+    asking = request_table(first_n(pending(rows, store.latest(), spec), limit), spec, view)
+    path = fresh_path(spark, "requests")
+    asking.repartitionByRange(rounds, "seq").withColumn("round", F.spark_partition_id()).write.partitionBy("round").parquet(path)
+    todo = spark.read.schema(StructType([*asking.schema.fields, StructField("round", IntegerType())])).parquet(path)
+    stop, carried = None, 0
+    for number in range(rounds if counts["selected"] else 0):
+        asked = todo.filter(F.col("round") == number).drop("round").repartition(cores, "seq")
         answers = asked.mapInPandas(teacher.answer, ANSWER)
         records = materialize(answers_to_records(answers, spec, teacher.identity), "round")
         shaped = records.withColumn("run", F.lit(0)).withColumn("is_error", F.col("status") == "error")
@@ -141,8 +149,7 @@ def label(rows: DataFrame, spec: TaskSpec, teacher: Teacher, store: LabelStore,
             carried += edge["n"]
         else:
             carried = shaped.filter(F.col("seq") > edge["good"]).count()
-        after, left = edge["last"], left - edge["n"]
-        if edge["n"] == 0:
+        if stop is not None:
             break
     reason = None if stop is None else f"stopped after {MAX_CONSECUTIVE_ERRORS} consecutive teacher errors"
     return {"teacher": teacher.identity, "question_type": spec.teacher.question_type, **counts, "stop_reason": reason}

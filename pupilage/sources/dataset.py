@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pupilage.config import DataError, TaskSpec
 from pupilage.operators.validation import (
-    duplicate_ids,
     input_violations,
     parse_input,
     settle,
@@ -19,14 +19,32 @@ from pupilage.sources.storage import materialize
 ROW_KEYS = ["id", "input", "group", "gold"]
 
 
-def read_lines(spark: SparkSession, path: str, max_line_bytes: int) -> DataFrame:
-    """(seq, line, violations) of the non-blank lines.
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, line) of all lines: ``seq`` counts files by age, then name, then position.
 
-    ``seq`` follows the order of lines inside a file; give a dataset one file,
-    or carry an order in the data, where the order of files matters.
+    The engine packs files into tasks by size, so its own row numbers do not
+    follow the files. Lines are numbered inside their file part, and the parts
+    (one small row each) are summed in the order of their files.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
-    full = lines.filter(~F.col("line").rlike(r"^[ \t\r]*$"))
+    part = ["_age", "_file", "_block"]
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_modification_time").alias("_age"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.col("value").alias("line"),
+    )
+    parts = lines.groupBy(*part).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = F.sum("_lines").over(W.orderBy(*part).rowsBetween(W.unboundedPreceding, -1))
+    bases = parts.select(*part, (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_base"))
+    return lines.join(bases, part).select((F.col("_at") + F.col("_base")).alias("seq"), "line")
+
+
+def read_lines(spark: SparkSession, path: str, max_line_bytes: int | None) -> DataFrame:
+    """(seq, line, violations) of the non-blank lines, in the order of ``ordered_lines``."""
+    full = ordered_lines(spark, path).filter(~F.col("line").rlike(r"^[ \t\r]*$"))
+    if max_line_bytes is None:
+        return full.withColumn("violations", F.array().cast("array<string>"))
     too_long = F.when(F.octet_length("line") > max_line_bytes, F.lit(f"line exceeds {max_line_bytes} bytes"))
     return full.withColumn("violations", F.array_compact(F.array(too_long)))
 
@@ -83,12 +101,16 @@ def read_dataset(spark: SparkSession, path: str, spec: TaskSpec, on_error: str =
     bound = spec.dataset.max_rows
     if bound is not None and rows.count() > bound:
         raise DataError(f"more than {bound} rows; raise the configured bound deliberately")
-    result = settle(rows, on_error, "dataset")
-    if on_error == "fail":
-        repeated = duplicate_ids(result).select("id").first()
-        if repeated is not None:
-            raise DataError(f"duplicate id {repeated['id']}")
-    return result
+    return settle(mark_repeated(rows), on_error, "dataset")
+
+
+def mark_repeated(rows: DataFrame) -> DataFrame:
+    """Adds a violation to every row whose id came before: the first one stands."""
+    first = rows.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    marked = rows.join(first.filter("_rows > 1").select("id", "_first"), "id", "left")
+    again = F.when(F.col("seq") > F.col("_first"), F.array(F.concat(F.lit("duplicate id "), F.col("id"))))
+    marked = marked.withColumn("violations", F.concat("violations", F.coalesce(again, F.array().cast("array<string>"))))
+    return marked.select(*rows.columns)
 
 
 def write_dataset(rows: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +18,17 @@ from pupilage.sources.storage import list_names, path_exists
 
 STORED = T.StructType([*RECORD.fields, T.StructField("run", T.LongType())])
 BASE = "base"
+FOLDED = "folded"
 
 
 class LabelStore:
-    """Teacher records under one folder: ``gen-<n>/append=<tag>/*.parquet``.
+    """Teacher records under one folder: ``appends/append=<tag>`` and ``gen-<n>``.
 
-    ``append`` adds a folder to the current generation. ``merge`` writes a new
-    generation and never touches the one being read; a generation counts only
-    once its job has committed, so a failed merge leaves the old one current.
+    Appends are never moved or rewritten. A merge writes generation n + 1: the
+    folded records, and before them the list of the appends they come from. A
+    generation counts once its job has committed, and readers take it together
+    with every append it has not folded, so an append that lands during a merge
+    is read as before, and a merge that fails leaves the old one current.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -32,63 +36,99 @@ class LabelStore:
         self.path = path.rstrip("/")
 
     def generation(self) -> int:
-        names = list_names(self.spark, self.path)
-        numbers = [int(n.removeprefix("gen-")) for n in names if n.startswith("gen-")]
-        merged = [n for n in numbers if n > 0 and path_exists(self.spark, f"{self._folder(n)}/append={BASE}/_SUCCESS")]
-        return max(merged, default=0)
+        numbers = [int(n.removeprefix("gen-")) for n in list_names(self.spark, self.path) if n.startswith("gen-")]
+        return max((n for n in numbers if path_exists(self.spark, f"{self._folder(n)}/{BASE}/_SUCCESS")), default=0)
 
     def _folder(self, generation: int) -> str:
         return f"{self.path}/gen-{generation:08d}"
 
+    def _append(self, tag: str) -> str:
+        return f"{self.path}/appends/append={tag}"
+
+    def folded(self, generation: int) -> set[str]:
+        """Tags of the appends that a generation holds."""
+        if generation == 0:
+            return set()
+        return {r["tag"] for r in self.spark.read.schema("tag string").parquet(f"{self._folder(generation)}/{FOLDED}").collect()}
+
+    def _committed(self) -> list[str]:
+        tags = [n.removeprefix("append=") for n in list_names(self.spark, f"{self.path}/appends") if n.startswith("append=")]
+        return sorted(t for t in tags if path_exists(self.spark, f"{self._append(t)}/_SUCCESS"))
+
+    def _read(self, generation: int, tags: list[str]) -> DataFrame:
+        paths = ([f"{self._folder(generation)}/{BASE}"] if generation else []) + [self._append(t) for t in tags]
+        if not paths:
+            return self.spark.createDataFrame([], STORED)
+        return self.spark.read.schema(STORED).parquet(*paths).select(*STORED.fieldNames())
+
     def records(self) -> DataFrame:
         """Every stored record, with the order of its append in ``run``."""
-        folder = self._folder(self.generation())
-        if not list_names(self.spark, folder):
-            return self.spark.createDataFrame([], STORED)
-        return self.spark.read.schema(STORED).parquet(folder).select(*STORED.fieldNames())
+        generation = self.generation()
+        folded = self.folded(generation)
+        return self._read(generation, [t for t in self._committed() if t not in folded])
 
     def latest(self) -> DataFrame:
         """One record per id: the last of the last run."""
         return latest_per_id(self.records(), order=F.struct("run", "seq")).drop("run")
 
     def append(self, records: DataFrame, tag: str | None = None) -> None:
-        """Add records; appending under the same ``tag`` again replaces it.
+        """Add records. A tag that is already there, folded or not, is left as
+        it is, so a replay changes neither records nor their order.
 
-        Runs are ordered by the clock of the driver that appends them.
+        Runs are ordered by the clock of the driver that appends them first.
         """
         run = time.time_ns() // 1000
+        tag = tag or f"{run}-{uuid.uuid4().hex[:8]}"
+        if path_exists(self.spark, f"{self._append(tag)}/_SUCCESS"):
+            return
         stamped = records.select(*RECORD.fieldNames()).withColumn("run", F.lit(run))
-        stamped.write.mode("overwrite").parquet(f"{self._folder(self.generation())}/append={tag or run}")
+        stamped.write.mode("overwrite").parquet(self._append(tag))
 
     def merge(self, records: DataFrame) -> None:
         """Replace records by id; the new generation is sorted by id."""
-        merged = merge_records(records.select(*RECORD.fieldNames()), self.latest())
-        stamped = sorted_by_id(merged).withColumn("run", F.lit(time.time_ns() // 1000))
+        # Taken first: an append that lands meanwhile has a later run and wins.
+        run = time.time_ns() // 1000
+        generation = self.generation()
+        folded = self.folded(generation)
+        fresh = [t for t in self._committed() if t not in folded]
+        new = records.select(*RECORD.fieldNames()).withColumn("run", F.lit(run))
+        old = latest_per_id(self._read(generation, fresh), order=F.struct("run", "seq"))
+        stamped = sorted_by_id(merge_records(new, old))
+        target = self._folder(generation + 1)
+        tags = self.spark.createDataFrame([(t,) for t in sorted(folded | set(fresh))], "tag string")
+        tags.write.mode("overwrite").parquet(f"{target}/{FOLDED}")
         # Overwrites nothing but the leavings of a merge that never committed.
-        stamped.write.mode("overwrite").parquet(f"{self._folder(self.generation() + 1)}/append={BASE}")
+        stamped.write.mode("overwrite").parquet(f"{target}/{BASE}")
 
     def compact(self) -> None:
         """Fold all appends into a new generation with one record per id."""
         self.merge(self.spark.createDataFrame([], RECORD))
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Last record per id of a JSON-lines label file; none if it is missing."""
+def read_labels(spark: SparkSession, path: str, max_line_bytes: int | None = None) -> DataFrame:
+    """Last record per id of JSON-lines label files; none if they are missing.
+
+    Records carry the ``run`` they were written in; inside a run, and for files
+    without runs, the order is that of the files and their lines.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], RECORD)
-    lines = settle(read_lines(spark, path, 16_384), "fail", "labels")
-    record = F.from_json("line", RECORD, {"mode": "FAILFAST"})
-    parsed = lines.select("seq", record.alias("r")).select("seq", *[f"r.{c}" for c in RECORD.fieldNames() if c != "seq"])
-    return latest_per_id(parsed)
+    lines = settle(read_lines(spark, path, max_line_bytes), "fail", "labels")
+    record = F.from_json("line", STORED, {"mode": "FAILFAST"})
+    parsed = lines.select(F.col("seq").alias("_line"), record.alias("r")).select("_line", "r.*")
+    placed = parsed.withColumn("seq", F.coalesce("seq", "_line")).withColumn("run", F.coalesce("run", F.lit(0)))
+    return latest_per_id(placed, order=F.struct("run", "_line")).drop("run", "_line")
 
 
 def write_labels(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
+    """Append records as JSON lines, marked with the run that wrote them."""
+    stamped = records.select(*RECORD.fieldNames()).withColumn("run", F.lit(time.time_ns() // 1000))
+    stamped.write.mode("append").json(path)
 
 
-def read_ledger_lines(spark: SparkSession, path: str, name: str, version: int) -> DataFrame:
+def read_ledger_lines(spark: SparkSession, path: str, name: str, version: int, max_line_bytes: int | None = None) -> DataFrame:
     """All ledger lines; fields the import does not use fall away."""
-    lines = settle(read_lines(spark, path, 65_536), "fail", "ledger")
+    lines = settle(read_lines(spark, path, max_line_bytes), "fail", "ledger")
     parsed = lines.select("seq", F.from_json("line", LEDGER, {"mode": "FAILFAST"}).alias("r")).select("seq", "r.*")
     foreign = parsed.filter(~(F.col("ledger").eqNullSafe(name) & F.col("ledger_version").eqNullSafe(version))).select("seq").first()
     if foreign is not None:
