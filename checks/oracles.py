@@ -329,8 +329,21 @@ SELECT a.id, CASE
   WHEN status = 'labeled' AND bu BETWEEN 0.2 AND 0.3 THEN 'probabilities cover [good, poor, toxic], task labels are [good, poor, toxic]'
   ELSE '' END AS violations
 FROM doc_task a LEFT JOIN broken b ON a.id = b.id"""
-ORACLES["read_ledger"] = """
-SELECT 'teacher.labels' AS ledger, 1 AS ledger_version, (SELECT count(*) FROM labels) + (SELECT count(*) FROM benchmark) AS ids"""
+ORACLES["read_ledger"] = f"""
+WITH {LEDGER} SELECT id, status, CASE WHEN status = 'labeled' THEN 'm-2' END AS answered_model FROM last_lines
+UNION ALL SELECT 'ghost-' || item_id, 'forbidden', NULL FROM benchmark WHERE item_id % 2 = 0
+UNION ALL SELECT 'ghost-' || item_id, 'forbidden', NULL FROM benchmark WHERE item_id % 2 = 1"""
+ORACLES["import_labels"] = f"""
+WITH {LEDGER}, broken AS (SELECT id, status, {chance('break')} AS bu FROM last_lines)
+SELECT f.id, CASE WHEN outcome IN ('accepted', 'uncertain') THEN outcome ELSE 'error' END AS status,
+  CASE WHEN outcome IN ('accepted', 'uncertain') THEN g_label END AS label,
+  CASE WHEN line_status = 'labeled' THEN 'ledger:m-2' ELSE 'ledger:m-1' END AS teacher,
+  CASE WHEN outcome IN ('accepted', 'uncertain') THEN round(g_top, 6) + 0.0 END AS top
+FROM found f JOIN broken b ON f.id = b.id
+WHERE NOT (bu > 0.95) AND NOT (b.status = 'labeled' AND (bu < 0.1 OR bu BETWEEN 0.2 AND 0.3))"""
+ORACLES["read_labels_appended"] = f"WITH {DOC_RECORDS} SELECT id, status, teacher FROM records"
+ORACLES["merge_with_late_append"] = last_by("(status <> 'accepted') DESC, seq DESC")
+ORACLES["upsert_stream_replay"] = last_by("(status = 'accepted') DESC, seq DESC")
 
 # ---- split -----------------------------------------------------------------------------
 

@@ -17,7 +17,7 @@ from pupilage.functions.ngrams import hashed_vector
 from pupilage.functions.text import normalize, words
 from pupilage.operators import features, identity, latency, ledger, metrics, parity, records, runs, split, student, teacher, validation
 from pupilage.operators.keyed import lookup
-from pupilage.plans import score
+from pupilage.plans import importing, score
 from pupilage.plans import train as training
 from pupilage.sources import dataset as dataset_source
 from pupilage.sources import models
@@ -357,21 +357,84 @@ def missing_rows(spark, folder):
 def validate_ledger(spark, folder):
     """Ledger lines checked against a task with other labels and statuses."""
     spec = t.DOCUMENTS
+    broken = broken_lines(spark, folder)
+    matched = ledger.match_ledger(t.hashed_documents(spark, folder), records.latest_per_id(broken))
+    return ledger.validate_ledger(matched, spec).select("id", F.array_join("violations", "; ").alias("violations"))
+
+
+def broken_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Some lines lack a label, some have an unknown status, some an undeclared choice."""
     u = t.chance("break", F.col("id"))
     lines = ledger_lines(spark, folder).withColumn(
         "probabilities", F.when(u < 0.1, F.map_filter("probabilities", lambda k, v: k != "toxic")).otherwise(F.col("probabilities"))
     )
-    broken = lines.withColumn("status", F.when(u > 0.95, F.lit("waiting")).otherwise(F.col("status"))).withColumn("choice", F.when(u.between(0.2, 0.3), F.lit("bad")))
-    matched = ledger.match_ledger(t.hashed_documents(spark, folder), records.latest_per_id(broken))
-    return ledger.validate_ledger(matched, spec).select("id", F.array_join("violations", "; ").alias("violations"))
+    return lines.withColumn("status", F.when(u > 0.95, F.lit("waiting")).otherwise(F.col("status"))).withColumn("choice", F.when(u.between(0.2, 0.3), F.lit("bad")))
+
+
+@query
+def import_labels(spark, folder):
+    """Import a ledger with wrong lines: they are refused, the rest is gated and stored."""
+    store = record_source.LabelStore(spark, fresh_path(spark, "imported-labels"))
+    importing.import_labels(t.hashed_documents(spark, folder), broken_lines(spark, folder), t.DOCUMENTS, store, "drop")
+    return store.latest().select("id", "status", "label", "teacher", r6("top").alias("top"))
 
 
 @query
 def read_ledger(spark, folder):
+    """Two appends of many files each: the second has the final lines."""
     path = fresh_path(spark, "ledger")
-    ledger_lines(spark, folder).drop("seq").orderBy("ledger").coalesce(1).write.json(path)
+    lines = ledger_lines(spark, folder)
+    first = F.col("seq") % 2 == 0
+    lines.filter(first).drop("seq").write.json(path)
+    lines.filter(~first).drop("seq").write.mode("append").json(path)
     latest = record_source.read_ledger(spark, path, "teacher.labels", 1)
-    return latest.groupBy("ledger", "ledger_version").agg(F.count(F.lit(1)).alias("ids"))
+    return latest.select("id", "status", "answered_model")
+
+
+@query
+def read_labels_appended(spark, folder):
+    """The second append is larger, so it is read first; its records win all the same."""
+    path = fresh_path(spark, "labels-json")
+    found = t.document_records(spark, folder)
+    record_source.write_labels(found.filter("length(id) < 7").withColumn("teacher", F.lit("before")), path)
+    record_source.write_labels(found, path)
+    return record_source.read_labels(spark, path).select("id", "status", "teacher")
+
+
+@query
+def merge_with_late_append(spark, folder):
+    """An append that lands while a merge is running is still there afterwards."""
+    log = event_records(spark, folder)
+    store = record_source.LabelStore(spark, fresh_path(spark, "labels"))
+    store.append(log.filter(F.col("status") == "accepted"))
+    folder_before = store.generation()
+    late = log.filter(F.col("status") != "accepted")
+    original = store._committed
+
+    def landed() -> list[str]:
+        tags = original()
+        if store.generation() == folder_before and "late" not in tags:
+            store.append(late, tag="late")
+        return tags
+
+    store._committed = landed
+    store.compact()
+    store._committed = original
+    return store.latest().select(*SHOWN)
+
+
+@query
+def upsert_stream_replay(spark, folder):
+    """Two batches, then the first one again: nothing changes."""
+    log = event_records(spark, folder)
+    store = record_source.LabelStore(spark, fresh_path(spark, "replayed"))
+    early = log.filter(F.col("status") != "accepted")
+    store.append(early, tag="stream-000000000000")
+    store.append(log.filter(F.col("status") == "accepted"), tag="stream-000000000001")
+    store.append(early, tag="stream-000000000000")
+    store.compact()
+    store.append(early, tag="stream-000000000000")
+    return store.latest().select(*SHOWN)
 
 
 # ---- split -----------------------------------------------------------------------
