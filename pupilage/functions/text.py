@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from pupilage.config import InputField
 
@@ -44,43 +40,10 @@ def number_text(x: Column) -> Column:
     )
 
 
-def _json_order(item: tuple) -> tuple:
-    # Keys that come first when an object is written as text.
-    first = "from subject body message role content billing technical sales other false true".split()
-    key = item[0]
-    if key in first:
-        return (0, first.index(key), key)
-    tail = key.removeprefix("department_")
-    if tail != key and tail.lstrip("+-").isdigit():
-        return (1, int(tail), key)
-    return (2, 0, key)
-
-
-def _json_text(value) -> str:
-    if isinstance(value, bool) or value is None:
-        return json.dumps(value)
-    if isinstance(value, (int, float)):
-        number = float(value)
-        return str(int(number)) if number == round(number) and abs(number) < 1e15 else repr(number)
-    if isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False).replace("/", "\\/")
-    if isinstance(value, list):
-        return "[" + ", ".join(map(_json_text, value)) + "]"
-    return "{" + ", ".join(f"{_json_text(k)}: {_json_text(v)}" for k, v in sorted(value.items(), key=_json_order)) + "}"
-
-
-def _json_field_text(raw: pa.Array) -> pa.Array:
-    def one(text):
-        if text is None:
-            return None
-        value = json.loads(text)
-        return value if isinstance(value, str) else _json_text(value)
-
-    return pa.array([one(text) for text in raw.to_pylist()], pa.string())
-
-
-# Free-form JSON fields only; declared scalar fields never leave the JVM.
-json_field_text = F.arrow_udf(_json_field_text, StringType())
+def json_field_text(raw: Column) -> Column:
+    """A JSON value as text: strings as they are, all else printed compactly with sorted keys."""
+    value = F.parse_json(raw)
+    return F.when(F.schema_of_variant(value) == "STRING", F.variant_get(value, "$", "string")).otherwise(F.to_json(value))
 
 
 def field_text(field: InputField, value: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -36,21 +37,22 @@ class FeatureDescriptor:
         return len(self.mean) if self.mean else 0
 
     def check(self, spec: TaskSpec) -> None:
+        """Statistics as long as the scheme's dense part, made for this question."""
+        sizes = {len(self.mean or ()), len(self.sd or ())}
+        if sizes != {dense_size(self.scheme, len(spec.labels), self.dense)}:
+            raise ModelError(f"a {self.scheme} student has statistics of {sorted(sizes)} values")
         if self.scheme == "hashed":
-            if any(v is not None for v in (self.mean, self.sd, self.question_hash, self.source_fingerprint)):
-                raise ModelError("hashed features carry no dense statistics")
-            return
-        k = len(spec.labels)
-        fits = {
-            "logits": self.dense == k and self.dimensions == self.dense,
-            "embedding": self.dense > k and self.dimensions == self.dense,
-            "hybrid": self.dense > k and self.dimensions > self.dense,
-        }[self.scheme]
-        finite = all(abs(v) < float("inf") for v in (self.mean or ())) and all(SD_FLOOR <= v < float("inf") for v in (self.sd or ()))
-        if not fits or not finite or len(self.sd or ()) != self.dense or not self.source_fingerprint:
-            raise ModelError(f"{self.scheme} features need finite mean and sd per dimension and a source fingerprint")
-        if self.question_hash != spec.question_hash:
-            raise ModelError(f"{self.scheme} features were made for another question")
+            wanted: tuple = (None, None)
+        else:
+            wanted = (spec.question_hash, self.source_fingerprint or "a source fingerprint")
+            # Hybrid students put hashed words behind the dense part, the others have nothing there.
+            if (self.dimensions > self.dense) != (self.scheme == "hybrid") or self.dense < len(spec.labels):
+                raise ModelError(f"{self.scheme}: {self.dimensions} dimensions do not go with {self.dense} dense values")
+            numbers = np.array([self.mean, self.sd])
+            if not np.isfinite(numbers).all() or numbers[1].min() < SD_FLOOR:
+                raise ModelError(f"{self.scheme}: a mean or deviation is not usable")
+        if (self.question_hash, self.source_fingerprint) != wanted:
+            raise ModelError(f"{self.scheme}: another question or source than expected")
 
 
 def bigrams(tokens: Column) -> Column:

@@ -44,10 +44,12 @@ class LinearModel:
         return self.weights.shape[1]
 
     def check(self) -> None:
-        if self.weights.ndim != 2 or self.classes < 2 or self.dimensions < 1 or self.bias.shape != (self.classes,):
-            raise ModelError("model shape does not match its weights")
-        if not (np.isfinite(self.weights).all() and np.isfinite(self.bias).all()):
-            raise ModelError("model weights are not finite")
+        """One finite bias and one row of finite weights for each of two or more classes."""
+        table = self.weights if self.weights.ndim == 2 else np.zeros((0, 0))
+        if min(table.shape[0] - 1, table.shape[1]) < 1 or self.bias.shape != table.shape[:1]:
+            raise ModelError(f"weights {self.weights.shape} and bias {self.bias.shape} are no linear model")
+        if not np.isfinite(np.column_stack([table, self.bias])).all():
+            raise ModelError("a weight or bias is NaN or infinite")
 
 
 @dataclass(frozen=True)

@@ -21,7 +21,7 @@ def task(**changes) -> TaskSpec:
     values = dict(
         name="permission",
         version="1",
-        instructions="Gate the requested action.",
+        instructions="What should the operator do with this order?",
         fields=(InputField("request", max_chars=200), InputField("note", required=False)),
         labels=tuple(Label(n, f"{n} description") for n in ("allow", "deny", "ask")),
         abstain=Abstain("ask", 0.4),
