@@ -513,6 +513,9 @@ WITH {RULE} SELECT b.vec_id, 'vector-class' AS classifier, '1' AS version,
   round(top * 10000) / 10000 AS confidence, top < 0.2 AS abstained, round(s.p * 10000) / 10000 AS p_c3
 FROM best b JOIN scored s ON b.vec_id = s.vec_id AND s.c = 3"""
 GRID = "grid AS (SELECT r, q FROM (SELECT unnest(range(0, {k})) AS r), (SELECT unnest(range(0, {k})) AS q))"
+ORACLES["save_load_predict"] = ORACLES["prediction_rows"]
+ORACLES["fit_optimum"] = "SELECT count(*) AS examples, count(DISTINCT label) AS classes, true AS converged, true AS flat FROM embeddings"
+ORACLES["compatible_sources"] = "SELECT r_name AS source, r_name = (SELECT min(r_name) FROM region) AS fits FROM region"
 ORACLES["confusion"] = f"""
 WITH {RULE}, {GRID.format(k=10)}
 SELECT r::BIGINT AS reference, q::BIGINT AS predicted, count(vec_id) AS n FROM grid LEFT JOIN best ON label = r AND predicted = q GROUP BY 1, 2"""

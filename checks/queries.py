@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import tasks as t
-from pupilage.config import InputField, TaskSpec
+from pupilage.config import InputField, ModelError, TaskSpec
 from pupilage.functions import hashing
 from pupilage.functions import probability as prob
 from pupilage.functions.ngrams import hashed_vector
 from pupilage.functions.text import normalize, words
-from pupilage.operators import features, identity, latency, ledger, metrics, parity, records, runs, split, student, teacher, validation
+from pupilage.operators import features, identity, jointfit, latency, ledger, metrics, parity, records, runs, split, student, teacher, validation
 from pupilage.operators.keyed import lookup
 from pupilage.plans import importing, score
 from pupilage.plans import train as training
@@ -767,12 +767,51 @@ def gradient_step(spark, folder):
 def adam_step(spark, folder):
     """The parity mode after one epoch from zero; the bias is left out, since
     balanced weights make its first gradient zero."""
-    rows = student.weighted_rows(vector_features(spark, folder), 10, "balanced")
-    model, _ = student.fit_adam(rows, 10, 64, 0.01, 1, 0.05)
-    weights = spark.createDataFrame(models.weight_table(model)).filter(F.col("index") >= 0)
+    spec = dataclasses.replace(t.VECTORS, student=dataclasses.replace(t.VECTORS.student, epochs=1, learning_rate=0.05, class_weighting="balanced"))
+    fitted = jointfit.fit_student(vector_features(spark, folder), spec, 64, 0.01, "adam")
+    weights = spark.createDataFrame(models.weight_table(fitted.model)).filter(F.col("index") >= 0)
     return weights.select(F.col("class").cast("bigint").alias("class_index"), F.col("index").cast("bigint").alias("dimension"), r6("weight").alias("weight"))
 
 
+@query
+def fit_optimum(spark, folder):
+    """The default fit ends where the gradient vanishes, and says so."""
+    spec = dataclasses.replace(t.VECTORS, student=dataclasses.replace(t.VECTORS.student, epochs=200, class_weighting="balanced"))
+    rows = vector_features(spark, folder)
+    fitted = jointfit.fit_student(rows, spec, 64, 0.05)
+    _, *gradient = student.loss_and_gradient(student.weighted_rows(rows, 10, "balanced"), fitted.model, 0.05)
+    steepest = max(float(np.abs(g).max()) for g in gradient)
+    counts = rows.agg(F.count(F.lit(1)).alias("examples"), F.countDistinct("label_index").alias("classes"))
+    return counts.select("examples", "classes", F.lit(fitted.converged).alias("converged"), F.lit(steepest < 2e-3).alias("flat"))
+
+
+@query
+def save_load_predict(spark, folder):
+    """A stored student predicts what its rule says."""
+    path = fresh_path(spark, "student")
+    models.save_model(models.Student(t.VECTORS, features.FeatureDescriptor("embedding", 64, (0.0,) * 64, (1.0,) * 64, t.VECTORS.question_hash, "vectors-1"), rule_model(), {}), spark, path)
+    loaded = models.load_model(spark, path)
+    models.check_compatible(loaded, "vectors-1")
+    served = student.prediction_rows(student.with_probabilities(vector_features(spark, folder), loaded.model), loaded.spec, ("vec_id",))
+    return served.select("vec_id", "classifier", "version", "label", "argmax", "confidence", "abstained", F.col("probabilities")["c3"].alias("p_c3"))
+
+
+@query
+def compatible_sources(spark, folder):
+    """Which sources' representations a student made from the first region's may use."""
+    names = [r["r_name"] for r in table(spark, folder, "region").select("r_name").orderBy("r_name").collect()]
+    own = models.Student(t.VECTORS, features.FeatureDescriptor("embedding", 64, (0.0,) * 64, (1.0,) * 64, t.VECTORS.question_hash, names[0]), rule_model(), {})
+
+    def fits(name: str) -> bool:
+        try:
+            models.check_compatible(own, name)
+        except ModelError:
+            return False
+        return True
+
+    return spark.createDataFrame([(n, fits(n)) for n in names], "source string, fits boolean")
+
+
 def rule_scored(spark: SparkSession, folder: str) -> DataFrame:
     return student.with_probabilities(vector_features(spark, folder), rule_model())
 
@@ -927,9 +966,9 @@ def fit_predict(spark, folder):
     spec = t.DOCUMENTS
     rows = t.document_rows(spark, folder)
     kept = training.split_rows(rows, t.document_records(spark, folder), spec).kept
-    placed = kept.filter(F.col("split") == "train").join(rows.select("id", "input"), "id")
     descriptor = features.FeatureDescriptor("hashed", spec.student.hash_dimensions)
-    result = student.fit_student(features.with_features(placed, descriptor, spec), spec, descriptor.dimensions, spec.student.l2)
+    featured = training.featured_rows(kept.filter(F.col("split") == "train"), rows, descriptor, spec, None)
+    result = jointfit.fit_student(featured, spec, descriptor.dimensions, spec.student.l2)
     fitted = models.Student(spec, descriptor, result.model, {})
     return score.predict(rows, fitted).select("id", "label", "argmax", "confidence", "abstained")
 

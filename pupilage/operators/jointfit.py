@@ -1,9 +1,10 @@
-"""Fit many students over the same rows at once.
+"""Fit one or many students over the same rows at once.
 
 Cross-validation needs one fit per candidate and fold. Fitting them one by one
 reads (or caches) the features once per fit; here every pass over the rows
 serves all fits that are still running, and each row is skipped by the fits
-whose fold it belongs to.
+whose fold it belongs to. The final fit is the same with one job that skips no
+fold, so selection and fit share the objective, the steps and the stopping rule.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pupilage.operators.student import PROBABILITY_FLOOR, LinearModel, _batch_struct, _cells, _probabilities
+from pupilage.config import TaskSpec, TrainingError
+from pupilage.operators.student import BETA1, BETA2, EPSILON, PROBABILITY_FLOOR, Fit, LinearModel, _batch_struct, _cells, _probabilities
 
 MEMORY = 10
-MAX_PASSES = 300
 TOLERANCE = 1e-6
 # Parameters broadcast per pass: 64 MB of doubles.
 MAX_PARAMETERS = 8_000_000
+# No row has this fold.
+NO_FOLD = -1
+ABSENT_BIAS = -1e3
 
 
 @dataclass(frozen=True)
@@ -48,6 +52,10 @@ class Descent:
     step: float = 0.0
     done: bool = False
 
+    @property
+    def converged(self) -> bool:
+        return self.done
+
     def trial(self) -> np.ndarray:
         return self.x if self.direction is None else self.x + self.step * self.direction
 
@@ -81,18 +89,41 @@ class Descent:
         return -q
 
 
+@dataclass
+class AdamSteps:
+    """Full-batch Adam from zero for one job; it ends with the passes, not before."""
+
+    x: np.ndarray
+    rate: float
+    f: float = np.inf
+    count: int = 0
+    done: bool = False
+    converged: bool = True
+
+    def __post_init__(self) -> None:
+        self.mean, self.square = np.zeros_like(self.x), np.zeros_like(self.x)
+
+    def trial(self) -> np.ndarray:
+        return self.x
+
+    def observe(self, f: float, g: np.ndarray) -> None:
+        self.f, self.count = f, self.count + 1
+        self.mean = BETA1 * self.mean + (1 - BETA1) * g
+        self.square = BETA2 * self.square + (1 - BETA2) * g**2
+        scale = np.sqrt(self.square / (1 - BETA2**self.count)) + EPSILON
+        self.x = self.x - self.rate * self.mean / (1 - BETA1**self.count) / scale
+
+
 def _unpack(x: np.ndarray, classes: int, dimensions: int) -> LinearModel:
     return LinearModel(x[: classes * dimensions].reshape(classes, dimensions), x[classes * dimensions :])
 
 
-def joint_sums(rows: DataFrame, points: list[np.ndarray], jobs: list[Job], classes: int, dimensions: int, parts: int | None = None) -> list[tuple[float, np.ndarray]]:
+def joint_sums(rows: DataFrame, points: list[np.ndarray], jobs: list[Job], classes: int, dimensions: int) -> list[tuple[float, np.ndarray]]:
     """Loss and gradient sums of all jobs in one pass over (features,
     label_index, fold).
 
     Each task sends at most one cell per parameter. The cells are added up in
-    a shuffle, so the driver receives the summed parameters only; with so few
-    tasks (``parts``) that all their cells fit the parameter bound, the driver
-    adds them itself.
+    a shuffle, so the driver receives the summed parameters only.
     """
     size = classes * (dimensions + 1)
     shared = rows.sparkSession.sparkContext.broadcast((points, [(j.left_out, np.array(j.weights)) for j in jobs]))
@@ -121,40 +152,86 @@ def joint_sums(rows: DataFrame, points: list[np.ndarray], jobs: list[Job], class
 
     partial = rows.select("features", "label_index", "fold").mapInArrow(sums, "cell bigint, value double")
     length = len(jobs) * (size + 1)
-    if parts is None or parts * length > MAX_PARAMETERS:
-        partial = partial.groupBy("cell").agg(F.sum("value").alias("value"))
-    table = partial.toArrow()
+    table = partial.groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
     shared.unpersist()
     flat = np.bincount(table.column("cell").to_numpy(), table.column("value").to_numpy(), length)
     return [(float(part[-1]), part[:-1]) for part in flat.reshape(len(jobs), size + 1)]
 
 
-def fit_many(rows: DataFrame, jobs: list[Job], classes: int, dimensions: int) -> list[LinearModel]:
-    """Minimise every job's class-weighted objective (see ``loss_and_gradient``)."""
+@dataclass(frozen=True)
+class Fitted:
+    """``loss`` is the penalised objective at the model (before its last step for Adam)."""
+
+    model: LinearModel
+    loss: float
+    converged: bool
+
+
+def fit_many(rows: DataFrame, jobs: list[Job], classes: int, dimensions: int, passes: int, method: str = "lbfgs", rate: float = 0.05) -> list[Fitted]:
+    """Minimise every job's class-weighted objective (see ``loss_and_gradient``).
+
+    ``rows`` (features, label_index, fold) should be written or kept: they are
+    read once per pass. ``passes`` bounds the passes of a job; whether a job
+    ended before is part of the result.
+    """
     size = classes * (dimensions + 1)
     at_once = max(1, MAX_PARAMETERS // size)
     penalty = np.concatenate([np.ones(classes * dimensions), np.zeros(classes)])
-    parts = rows.rdd.getNumPartitions()
-    models: list[LinearModel] = []
+    found: list[Fitted] = []
     for start in range(0, len(jobs), at_once):
         chunk = jobs[start : start + at_once]
-        descents = [Descent(np.zeros(size)) for _ in chunk]
-        for _ in range(MAX_PASSES):
-            active = [i for i, d in enumerate(descents) if not d.done]
+        steps = [AdamSteps(np.zeros(size), rate) if method == "adam" else Descent(np.zeros(size)) for _ in chunk]
+        for _ in range(passes):
+            active = [i for i, d in enumerate(steps) if not d.done]
             if not active:
                 break
-            points = [descents[i].trial() for i in active]
-            found = joint_sums(rows, points, [chunk[i] for i in active], classes, dimensions, parts)
-            for i, point, (loss, gradient) in zip(active, points, found):
+            points = [steps[i].trial() for i in active]
+            sums = joint_sums(rows, points, [chunk[i] for i in active], classes, dimensions)
+            for i, point, (loss, gradient) in zip(active, points, sums):
                 penalized = point * penalty
                 f = loss / chunk[i].total + 0.5 * chunk[i].l2 * float(penalized @ penalized)
-                descents[i].observe(f, gradient / chunk[i].total + chunk[i].l2 * penalized)
-        models += [_unpack(d.x, classes, dimensions) for d in descents]
-    return models
+                steps[i].observe(f, gradient / chunk[i].total + chunk[i].l2 * penalized)
+        found += [Fitted(_unpack(d.x, classes, dimensions), d.f, d.converged) for d in steps]
+    return found
+
+
+def job_for(l2: float, counts: np.ndarray, mode: str, left_out: int = NO_FOLD) -> Job:
+    """Class weights from the label counts of the rows the job sees."""
+    present = counts > 0
+    weights = np.ones_like(counts)
+    if mode == "balanced":
+        weights = np.divide(counts.sum(), present.sum() * counts, out=np.zeros_like(counts), where=present)
+    return Job(float(l2), left_out, tuple(weights.tolist()), float((weights * counts).sum()))
+
+
+def fit_student(train: DataFrame, spec: TaskSpec, dimensions: int, l2: float, method: str = "lbfgs") -> Fit:
+    """Fit (``features``, ``label_index``) rows; one more pass counts the hits."""
+    settings, classes = spec.student, len(spec.labels)
+    rows = train.select("features", "label_index", F.lit(0).alias("fold"))
+    counts = np.zeros(classes)
+    for r in rows.groupBy("label_index").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["label_index"]] = r["n"]
+    if not counts.sum():
+        raise TrainingError("no training rows")
+    job = job_for(l2, counts, settings.class_weighting)
+    fitted = fit_many(rows, [job], classes, dimensions, settings.epochs, method, settings.learning_rate)[0]
+    if not np.isfinite(fitted.loss):
+        raise TrainingError("the loss is no longer finite; try a smaller learning rate")
+    if method != "adam":
+        # Labels without a row have no minimum: their bias would fall for ever.
+        fitted.model.weights[counts == 0], fitted.model.bias[counts == 0] = 0.0, ABSENT_BIAS
+    fitted.model.check()
+    hits, seen = left_out_hits(rows, [fitted.model], [Job(l2, 0, job.weights, job.total)])[0]
+    return Fit(fitted.model, fitted.loss, hits / seen, fitted.converged)
 
 
 def left_out_hits(rows: DataFrame, models: list[LinearModel], jobs: list[Job]) -> list[tuple[int, int]]:
-    """(hits, rows) of every model on the fold it has not seen, in one pass."""
+    """(hits, rows) of every model on the fold it has not seen; a pass for each lot of models that may be broadcast."""
+    at_once = max(1, MAX_PARAMETERS // (models[0].classes * (models[0].dimensions + 1))) if models else 1
+    return [pair for k in range(0, len(jobs), at_once) for pair in _hits(rows, models[k : k + at_once], jobs[k : k + at_once])]
+
+
+def _hits(rows: DataFrame, models: list[LinearModel], jobs: list[Job]) -> list[tuple[int, int]]:
     shared = rows.sparkSession.sparkContext.broadcast([(m.weights, m.bias, j.left_out) for m, j in zip(models, jobs)])
 
     def judge(features: pa.Array, label: pa.Array, fold: pa.Array) -> pa.Array:
@@ -172,4 +249,5 @@ def left_out_hits(rows: DataFrame, models: list[LinearModel], jobs: list[Job]) -
         *[F.sum(F.col("hits")[m]).alias(f"h{m}") for m in range(len(jobs))],
         *[F.count_if(F.col("fold") == j.left_out).alias(f"n{m}") for m, j in enumerate(jobs)],
     ).first()
+    shared.unpersist()
     return [(summed[f"h{m}"] or 0, summed[f"n{m}"]) for m in range(len(jobs))]

@@ -53,20 +53,24 @@ def test_adam_mode_matches_plain_adam(spark):
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weights, bias = theta[:15].reshape(3, 5), theta[15:]
-    model, found = student.fit_adam(df, 3, 5, 0.01, 12, 0.05)
-    assert found == pytest.approx(loss)
+    # Rows of weight 2 as two rows: the joint pass weighs classes, not rows.
+    doubled = df.unionByName(df.filter("weight = 2")).withColumn("fold", F.lit(0))
+    job = jointfit.Job(0.01, jointfit.NO_FOLD, (1.0, 1.0, 1.0), float(w.sum()))
+    fitted = jointfit.fit_many(doubled, [job], 3, 5, 12, "adam", 0.05)[0]
+    model = fitted.model
+    assert fitted.loss == pytest.approx(loss)
     assert model.weights == pytest.approx(weights) and model.bias == pytest.approx(bias)
 
 
 def test_all_fits_reach_the_same_minimum(spark):
     x, y, w, df = points(spark)
-    flat = df.withColumn("weight", F.lit(1.0))
-    one = np.ones(len(y))
-    lbfgs = student.fit(flat, 3, 0.05)
-    joint = jointfit.fit_many(flat.withColumn("fold", F.lit(0)), [jointfit.Job(0.05, 9, (1.0, 1.0, 1.0), float(len(y)))], 3, 5)[0]
-    best = objective(x, y, one, lbfgs.weights, lbfgs.bias, 0.05)
-    assert np.abs(best[1]).max() < 1e-3
-    assert objective(x, y, one, joint.weights, joint.bias, 0.05)[0] == pytest.approx(best[0], abs=1e-4)
+    one, rows = np.ones(len(y)), df.withColumn("fold", F.lit(0))
+    jobs = [jointfit.Job(l2, jointfit.NO_FOLD, (1.0, 1.0, 1.0), float(len(y))) for l2 in (0.05, 0.5)]
+    for job, fitted in zip(jobs, jointfit.fit_many(rows, jobs, 3, 5, 100)):
+        loss, *gradient = objective(x, y, one, fitted.model.weights, fitted.model.bias, job.l2)
+        assert fitted.converged and fitted.loss == pytest.approx(loss)
+        assert max(np.abs(g).max() for g in gradient) < 1e-3
+    assert not jointfit.fit_many(rows, jobs[:1], 3, 5, 2)[0].converged
 
 
 def test_joint_fits_leave_their_fold_out(spark):
@@ -85,7 +89,10 @@ def test_joint_fits_leave_their_fold_out(spark):
 
 def test_absent_class_gets_no_probability(spark):
     _, y, _, df = points(spark)
-    model = student.fit(df.filter("label_index != 1"), 4, 0.1)
+    spec = task(labels=tuple(Label(n, n) for n in ("allow", "deny", "ask", "later")))
+    fitted = jointfit.fit_student(df.filter("label_index != 1"), spec, 5, 0.1)
+    model = fitted.model
+    assert fitted.converged and 0.5 < fitted.train_accuracy <= 1
     p = np.array([r["p"] for r in student.with_probabilities(df, model).select("p").collect()])
     assert p[:, [1, 3]].max() < 1e-3
 
