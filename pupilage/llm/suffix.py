@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pupilage.llm.texts import BLOCK, Hashes, byte_column, only
+from pupilage.llm.texts import BLOCK, Hashes, byte_column, mixed, only
 from pupilage.sources.storage import materialize
 
 WINDOW = 200
@@ -45,11 +45,12 @@ LOT_BYTES = 1 << 20
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of a block: text number, first and last window start, anchor start, anchor hash of every segment."""
+    """Of a block: text number, first and last window start, anchor start, anchor hash and hash of all bytes of every segment."""
     none = np.zeros(0, np.int64)
     if len(data) < window:
-        return none, none, none, none, none.astype(np.uint64)
-    hashes, wide = Hashes(data).windows(gram), window - gram + 1
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    block = Hashes(data)
+    hashes, wide = block.windows(gram), window - gram + 1
     place = np.arange(len(hashes), dtype=np.uint64)
     key = (hashes & ~np.uint64((1 << 24) - 1)) | place
     rows = -(-len(key) // wide)
@@ -69,7 +70,21 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> t
     stop = np.ones(windows, bool)
     stop[:-1] = new[1:] | ~inside[1:]
     last = np.flatnonzero(inside & stop)
-    return text[first], first, last, anchor[first], hashes[anchor[first]]
+    return text[first], first, last, anchor[first], hashes[anchor[first]], block.of(first, last + window)
+
+
+def again(data: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, whole: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segments that stand for themselves, and those that have an equal in the same text (the first of which does both)."""
+    name = mixed(whole ^ mixed(anchor + text.astype(np.uint64)))
+    order = np.argsort(name, kind="stable")
+    head = np.concatenate([[True], name[order][1:] != name[order][:-1]]) if len(order) else np.zeros(0, bool)
+    leader = order[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(order) else order
+    alone, twice, view = np.ones(len(first), bool), np.zeros(len(first), bool), data.tobytes()
+    for own, lead in zip(order[~head].tolist(), leader[~head].tolist()):
+        if view[first[own] : last[own] + window] == view[first[lead] : last[lead] + window]:
+            alone[own] = False
+            twice[own] = twice[lead] = True
+    return np.flatnonzero(alone), np.flatnonzero(twice)
 
 
 def lots(column: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -95,20 +110,34 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """``anchor``, ``doc_id``, ``hash``, and the segment: start of its first window, number of windows, bytes from there to the anchor."""
+    """``anchor``, ``doc_id``, ``hash``, and the segment: start of its first window, number of windows, bytes from there to the anchor.
+
+    Segments that are equal in one text (as in a text of one word) come once.
+    Their windows are repeated whatever other texts hold: rows without an anchor
+    name them, neighbours merged.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets, before in lots(batch.column("text"), window):
-                text, first, last, place, anchor = segments(data, offsets, window, gram)
-                row = pa.array(rows[text])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), batch.column("doc_id").take(row), batch.column("hash").take(row), pa.array(first - offsets[text] + before), pa.array((last - first + 1).astype(np.int16)), pa.array((place - first).astype(np.int16))],
-                    ["anchor", "doc_id", "hash", "first", "windows", "lead"],
+                text, first, last, place, anchor, whole = segments(data, offsets, window, gram)
+                alone, twice = again(data, text, first, last, anchor, whole, window)
+                # Two bytes between texts, so that ranges of neighbours never touch.
+                apart = 2 * text[twice]
+                start, end = _merge(first[twice] + apart, last[twice] + window + apart) if len(twice) else (twice, twice)
+                of = np.searchsorted(offsets + 2 * np.arange(len(offsets)), start, side="right") - 1
+                start, end = start - 2 * of, end - 2 * of
+                row = pa.array(np.concatenate([rows[text[alone]], rows[of]]))
+                columns = (
+                    np.concatenate([first[alone] - offsets[text[alone]], start - offsets[of]]) + before,
+                    np.concatenate([last[alone] - first[alone] + 1, end - start - window + 1]),
+                    np.concatenate([place[alone] - first[alone], np.zeros(len(start), np.int64)]).astype(np.int16),
                 )
+                named = pa.array(np.concatenate([anchor[alone].view(np.int64), np.zeros(len(start), np.int64)]), mask=np.arange(len(row)) >= len(alone))
+                yield pa.RecordBatch.from_arrays([named, batch.column("doc_id").take(row), batch.column("hash").take(row), *map(pa.array, columns)], ["anchor", "doc_id", "hash", "first", "windows", "lead"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"anchor long, doc_id {kind}, hash long, first long, windows short, lead short")
+    return texts.mapInArrow(run, f"anchor long, doc_id {kind}, hash long, first long, windows long, lead short")
 
 
 PIECE = "bucket long, piece binary, lead short, doc_id {}, hash long, first long"
@@ -385,15 +414,17 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Data
     once = materialize(copies(texts), "copies")
     found = materialize(anchors(texts.filter(F.octet_length("text") >= window), window, gram), "anchors")
     # Twice in one text, or in two texts; copies of a text alone do not count.
+    sure, found = found.filter("anchor is null"), found.filter("anchor is not null")
     edges = found.groupBy("anchor").agg(*(f(c).alias(f.__name__ + c) for c in ("hash", "first") for f in (F.min, F.max)))
     common = materialize(edges.filter("minhash < maxhash or minfirst < maxfirst").select("anchor"), "common-anchors")
-    shared = found.join(common, "anchor")
+    shared = found.join(common, "anchor").unionByName(sure)
     first = once.select(F.col("doc_id").alias("own"), F.col("hash").alias("text_hash"))
-    listed = shared.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("anchor", "first", "windows", "lead")).alias("listed"))
+    listed = shared.groupBy("doc_id", "hash").agg(F.collect_set(F.when(F.col("anchor").isNotNull(), F.struct("anchor", "first", "windows", "lead"))).alias("listed"))
     listed = listed.join(first, (F.col("hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
     chosen = materialize(texts.join(listed, (texts["hash"] == listed["hash"]) & texts["doc_id"].eqNullSafe(listed["doc_id"])).select(texts["doc_id"], texts["hash"], "text", "listed").dropDuplicates(["doc_id", "hash"]), "candidates")
     pieces = chosen.mapInArrow(_cut(window), PIECE.format(kind))
-    return _repeats(pieces, window, kind), chosen.select("doc_id", "hash", "text"), once
+    ranges = _repeats(pieces, window, kind).unionAll(sure.select("doc_id", "hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") + window - 1).alias("end")))
+    return ranges, chosen.select("doc_id", "hash", "text"), once
 
 
 def _repeats(pieces: DataFrame, window: int, kind: str) -> DataFrame:
