@@ -33,6 +33,8 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataF
     broadcast join when ``right`` is small.
     """
     values = [c for c in right.columns if c != key]
+    # Each is read twice, so each is written once.
+    left, right = materialize(left, "rows"), materialize(right, "values")
     keys = heavy_keys(left, key)
     # Both broadcasts have a row per heavy key; ``right`` is not shuffled here.
     known = right.join(F.broadcast(keys), key)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pupilage.operators.keyed import lookup
 
 # percentile_approx is off by at most n / ACCURACY ranks, so the exact value
 # lies between the estimates two steps to either side.
@@ -17,8 +16,9 @@ def latency_summary(df: DataFrame, group: str, value: str, quantiles: tuple[floa
     """n, min, max and the values at sorted position ``min(n-1, int(n q))``.
 
     A sketch per group brackets each wanted position; values below a bracket
-    are only counted, and at most 4/10000 of a group is ordered exactly. Equal
-    values are counted together before anything is shuffled.
+    are only counted, and at most 4/10000 of a group is ordered exactly. What is
+    outside the brackets is counted, and equal values inside are counted
+    together, before anything is shuffled.
     """
     known = df.filter(F.col(value).isNotNull()).select(group, value)
     step = 2.0 / ACCURACY
@@ -29,8 +29,9 @@ def latency_summary(df: DataFrame, group: str, value: str, quantiles: tuple[floa
         F.max(value).alias("high"),
         F.percentile_approx(value, F.array(*[F.lit(e) for e in edges]), ACCURACY).alias("edges"),
     )
-    weighted = known.groupBy(group, value).agg(F.count(F.lit(1)).alias("copies"))
-    marked = lookup(weighted, stats, group, value)
+    # One row of edges per group meets the rows where they are; a group too
+    # large for one partition is split by the engine.
+    marked = known.join(stats, group)
     wanted = F.array(
         *[
             F.struct(
@@ -42,10 +43,10 @@ def latency_summary(df: DataFrame, group: str, value: str, quantiles: tuple[floa
             for i, q in enumerate(quantiles)
         ]
     )
-    cells = marked.select(group, "n", "low", "high", "copies", F.explode(wanted).alias("w")).filter("w.needed")
-    cells = cells.select(group, "n", "low", "high", "copies", "w.*")
+    cells = marked.select(group, "n", "low", "high", F.explode(wanted).alias("w")).filter("w.needed")
+    cells = cells.select(group, "n", "low", "high", "w.*")
     counted = cells.groupBy(group, "q", "v").agg(
-        F.sum("copies").alias("c"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("position").alias("position")
+        F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("position").alias("position")
     )
     order = W.partitionBy(group, "q").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
     found = counted.withColumn("upto", F.sum("c").over(order)).filter((F.col("upto") > F.col("position")) & F.col("v").isNotNull())

@@ -16,11 +16,6 @@ from pupilage.operators.identity import with_split
 from pupilage.operators.keyed import flag_members, lookup
 from pupilage.operators.records import USABLE, join_labels
 
-REPORT_COLUMNS = (
-    "total gold gold_overlap_excluded unlabeled teacher_errors stale_labels uncertain_to_abstain uncertain_dropped "
-    "duplicates_removed conflicts_dropped train_overlap_excluded train holdout"
-).split()
-
 
 def dedupe(df: DataFrame, label: str = "label") -> DataFrame:
     """One row per content hash: the first copy, with ``copies`` and ``conflict``.
@@ -32,7 +27,8 @@ def dedupe(df: DataFrame, label: str = "label") -> DataFrame:
     grouped = df.groupBy(F.col("content_hash").alias("_key")).agg(
         first.alias("_first"),
         F.count(F.lit(1)).alias("copies"),
-        (F.min(label) != F.max(label)).alias("conflict"),
+        # Copies without any label do not disagree.
+        F.coalesce(F.min(label) != F.max(label), F.lit(False)).alias("conflict"),
     )
     return grouped.select("_first.*", "copies", "conflict")
 
