@@ -30,6 +30,8 @@ from pupilage.llm.texts import SPACE, Hashes, blocks, held_out, only, runs, samp
 #: Documented bound of the sample that the classifier learns from.
 TRAIN_ROWS = 3000
 BUCKETS = 1 << 16
+#: Bytes of text worked on at once.
+LOT = 1 << 18
 WIDTH = 8
 GRAMS = (3, 4)
 EPOCHS = 6
@@ -79,7 +81,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column("text")
         texts: dict[int, list] = {}
-        for rows, data, offsets in blocks(column):
+        for rows, data, offsets in blocks(column, LOT):
             bucket, at = features(data, offsets)
             text = rows[np.searchsorted(offsets, at, side="right") - 1]
             pairs, count = np.unique(text * BUCKETS + bucket, return_counts=True)
@@ -99,7 +101,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(ids: list[np.ndarray], shares: list[np.ndarray], label: np.ndarray, seed: int = 7) -> QualityModel:
     """Vectors and softmax by mini-batch gradient descent with a falling rate."""
     share = float(label.mean()) if len(label) else 0.5
-    if not 0 < share < 1:
+    if not len(label) or not 0 < share < 1:
         certain = min(max(share, 1e-6), 1 - 1e-6)
         return QualityModel(np.zeros(BUCKETS, np.float32), float(np.log(certain / (1 - certain))))
     rng = np.random.default_rng(seed)
@@ -146,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
 
 def _score(column: pa.Array, model: QualityModel) -> np.ndarray:
     total, count = np.zeros(len(column)), np.zeros(len(column))
-    for rows, data, offsets in blocks(column):
+    for rows, data, offsets in blocks(column, LOT):
         bucket, at = features(data, offsets)
         text = np.searchsorted(offsets, at, side="right") - 1
         total[rows] += np.bincount(text, model.weights[bucket], len(rows))

@@ -228,10 +228,10 @@ def grouped(docs: DataFrame, shingle: int = 4, limit: int = 4, width: int = 1) -
 
 
 def limit_for(similarity: float, width: int) -> int:
-    """Differing bits of two texts whose shingle sets have this Jaccard similarity, as expected, and one standard deviation more."""
+    """Differing bits of two texts whose shingle sets have this Jaccard similarity, as expected, and two standard deviations more."""
     bits = 64 * width
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+    return math.floor(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
 
 
 def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:

@@ -31,6 +31,8 @@ from pupilage.llm.texts import Hashes, blocks, held_out, only, runs, sample_of
 #: Documented bound of the sample that the model learns from.
 TRAIN_ROWS = 6000
 BUCKETS = 1 << 18
+#: Bytes of text worked on at once.
+LOT = 1 << 18
 EPOCHS = 40
 BATCH = 256
 #: Small samples are gone through more often, until so many steps are made.
@@ -82,7 +84,7 @@ def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column("text")
         found: list[list] = [[] for _ in range(len(column))]
-        for rows, data, offsets in blocks(column):
+        for rows, data, offsets in blocks(column, LOT):
             at, bucket = words(data, offsets)
             cut = np.searchsorted(at, offsets)
             for k, row in enumerate(rows):
@@ -108,7 +110,7 @@ def learn(ids: list[np.ndarray], sizes: list[np.ndarray], label: np.ndarray, see
     cannot hide a word; ``DECAY`` pulls weights that explain little to zero.
     """
     share = float(label.mean()) if len(label) else 0.5
-    if not 0 < share < 1:
+    if not len(label) or not 0 < share < 1:
         return ToxicModel(np.zeros(BUCKETS, np.float32), START, share)
     rng = np.random.default_rng(seed)
     weights, first, second = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -163,7 +165,7 @@ def scores(docs: DataFrame, model: ToxicModel, *keep: str) -> DataFrame:
         for batch in batches:
             column = batch.column("text")
             miss = np.zeros(len(column))
-            for rows, data, offsets in blocks(column):
+            for rows, data, offsets in blocks(column, LOT):
                 at, logit = _sentence_logits(data, offsets, model)
                 text = np.searchsorted(offsets, at, side="right") - 1
                 miss[rows] += np.bincount(text, -np.log1p(np.exp(np.clip(logit, -500, 500))), len(rows))
@@ -184,7 +186,7 @@ def sentences(docs: DataFrame, model: ToxicModel, least: float = 0.5) -> DataFra
         model = shared.value
         for batch in batches:
             column, out, before = batch.column("text"), [], {}
-            for rows, data, offsets in blocks(column):
+            for rows, data, offsets in blocks(column, LOT):
                 at, logit = _sentence_logits(data, offsets, model)
                 cuts = np.union1d(np.flatnonzero(STOP[data]) + 1, offsets)
                 for start, score in zip(at, 1 / (1 + np.exp(-np.clip(logit, -500, 500)))):

@@ -72,7 +72,7 @@ def test_near_copies_survive_once(spark):
         words = [rng.choice(plain.WORDS) + str(rng.randint(0, 9999)) for _ in range(400)]
         for copy in range(4):
             own = list(words)
-            for _ in range(copy * 3):
+            for _ in range(copy * 2):
                 own[rng.randrange(400)] = "changed"
             rows.append((doc, " ".join(own)))
             doc += 1
