@@ -42,6 +42,8 @@ LIMIT = 50_000
 #: Windows of one run, from the whole segment down to a single window.
 RUNS = (16, 1)
 LOT_BYTES = 1 << 20
+#: Bits of a number below the window's size.
+STEP = 12
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -110,11 +112,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """``anchor``, ``doc_id``, ``hash``, and the segment: start of its first window, number of windows, bytes from there to the anchor.
+    """``anchor``, ``doc_id``, ``hash`` and ``segment``: start of its first window, number of windows and bytes from there to the anchor, in one number.
 
     Segments that are equal in one text (as in a text of one word) come once.
     Their windows are repeated whatever other texts hold: rows without an anchor
-    name them, neighbours merged.
+    give their bytes, from ``segment`` to ``end``, neighbours merged.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,16 +130,16 @@ def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 of = np.searchsorted(offsets + 2 * np.arange(len(offsets)), start, side="right") - 1
                 start, end = start - 2 * of, end - 2 * of
                 row = pa.array(np.concatenate([rows[text[alone]], rows[of]]))
-                columns = (
-                    np.concatenate([first[alone] - offsets[text[alone]], start - offsets[of]]) + before,
-                    np.concatenate([last[alone] - first[alone] + 1, end - start - window + 1]),
-                    np.concatenate([place[alone] - first[alone], np.zeros(len(start), np.int64)]).astype(np.int16),
-                )
-                named = pa.array(np.concatenate([anchor[alone].view(np.int64), np.zeros(len(start), np.int64)]), mask=np.arange(len(row)) >= len(alone))
-                yield pa.RecordBatch.from_arrays([named, batch.column("doc_id").take(row), batch.column("hash").take(row), *map(pa.array, columns)], ["anchor", "doc_id", "hash", "first", "windows", "lead"])
+                begin = first[alone] - offsets[text[alone]] + before
+                packed = begin << 2 * STEP | (last[alone] - first[alone] + 1) << STEP | (place[alone] - first[alone])
+                plain = np.arange(len(row)) < len(alone)
+                named = pa.array(np.concatenate([anchor[alone].view(np.int64), np.zeros(len(start), np.int64)]), mask=~plain)
+                segment = np.concatenate([packed, start - offsets[of] + before])
+                stop = pa.array(np.concatenate([np.zeros(len(alone), np.int64), end - offsets[of] + before]), mask=plain)
+                yield pa.RecordBatch.from_arrays([named, batch.column("doc_id").take(row), batch.column("hash").take(row), pa.array(segment), stop], ["anchor", "doc_id", "hash", "segment", "end"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"anchor long, doc_id {kind}, hash long, first long, windows long, lead short")
+    return texts.mapInArrow(run, f"anchor long, doc_id {kind}, hash long, segment long, end long")
 
 
 PIECE = "bucket long, piece binary, lead short, doc_id {}, hash long, first long"
@@ -153,10 +155,11 @@ def _cut(window: int):
             for row in range(batch.num_rows):
                 at = int(offsets[row])
                 listed = batch.column("listed").slice(row, 1).flatten()
-                first, windows = (listed.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("first", "windows"))
+                segment = listed.field("segment").to_numpy(zero_copy_only=False).astype(np.int64)
+                first, windows, lead = segment >> 2 * STEP, segment >> STEP & (1 << STEP) - 1, segment & (1 << STEP) - 1
                 pieces = [data[at + a : at + a + n + window - 1].tobytes() for a, n in zip(first, windows)]
                 same = pa.array(np.full(len(first), row))
-                yield pa.RecordBatch.from_arrays([listed.field("anchor"), pa.array(pieces, pa.binary()), listed.field("lead"), batch.column("doc_id").take(same), batch.column("hash").take(same), pa.array(first)], NAMES)
+                yield pa.RecordBatch.from_arrays([listed.field("anchor"), pa.array(pieces, pa.binary()), pa.array(lead.astype(np.int16)), batch.column("doc_id").take(same), batch.column("hash").take(same), pa.array(first)], NAMES)
 
     return run
 
@@ -415,15 +418,15 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Data
     found = materialize(anchors(texts.filter(F.octet_length("text") >= window), window, gram), "anchors")
     # Twice in one text, or in two texts; copies of a text alone do not count.
     sure, found = found.filter("anchor is null"), found.filter("anchor is not null")
-    edges = found.groupBy("anchor").agg(*(f(c).alias(f.__name__ + c) for c in ("hash", "first") for f in (F.min, F.max)))
-    common = materialize(edges.filter("minhash < maxhash or minfirst < maxfirst").select("anchor"), "common-anchors")
+    edges = found.select("anchor", F.xxhash64("hash", "segment").alias("place")).groupBy("anchor").agg(F.min("place").alias("least"), F.max("place").alias("most"))
+    common = materialize(edges.filter("least < most").select("anchor"), "common-anchors")
     shared = found.join(common, "anchor").unionByName(sure)
     first = once.select(F.col("doc_id").alias("own"), F.col("hash").alias("text_hash"))
-    listed = shared.groupBy("doc_id", "hash").agg(F.collect_set(F.when(F.col("anchor").isNotNull(), F.struct("anchor", "first", "windows", "lead"))).alias("listed"))
+    listed = shared.groupBy("doc_id", "hash").agg(F.collect_set(F.when(F.col("anchor").isNotNull(), F.struct("anchor", "segment"))).alias("listed"))
     listed = listed.join(first, (F.col("hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
     chosen = materialize(texts.join(listed, (texts["hash"] == listed["hash"]) & texts["doc_id"].eqNullSafe(listed["doc_id"])).select(texts["doc_id"], texts["hash"], "text", "listed").dropDuplicates(["doc_id", "hash"]), "candidates")
     pieces = chosen.mapInArrow(_cut(window), PIECE.format(kind))
-    ranges = _repeats(pieces, window, kind).unionAll(sure.select("doc_id", "hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") + window - 1).alias("end")))
+    ranges = _repeats(pieces, window, kind).unionAll(sure.select("doc_id", "hash", F.col("segment").alias("start"), "end"))
     return ranges, chosen.select("doc_id", "hash", "text"), once
 
 
@@ -444,8 +447,10 @@ def _repeats(pieces: DataFrame, window: int, kind: str) -> DataFrame:
         twice = strings.filter("n > 1").select("bucket", "lead", "mark")
         whole = pieces.select("bucket", "lead", mark.alias("mark"), "doc_id", "hash", F.col("first").alias("start"), (F.col("first") + F.octet_length("piece")).alias("end"))
         out.append(whole.join(twice, ["bucket", "lead", "mark"]).select("doc_id", "hash", "start", "end"))
-        mixed = strings.join(several.select("bucket"), "bucket").select("bucket", "piece", "lead", "n", "doc_id", "hash", "first")
-        out.append(mixed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_transform(window), f"doc_id {kind}, hash long, start long, end long"))
+        # Dealt by bucket before the join, which then needs no dealing of its own;
+        # the engine splits no partition that was asked for by name.
+        mixed = strings.repartition("bucket").join(several.select("bucket"), "bucket").select("bucket", "piece", "lead", "n", "doc_id", "hash", "first")
+        out.append(mixed.sortWithinPartitions("bucket").mapInArrow(_transform(window), f"doc_id {kind}, hash long, start long, end long"))
         if not divided:
             break
         pieces = pieces.join(hot, "bucket", "left_semi").mapInArrow(_divide(window, width), PIECE.format(kind))
