@@ -109,7 +109,7 @@ def learn(ids: list[np.ndarray], shares: list[np.ndarray], label: np.ndarray, se
     out = rng.uniform(-0.5, 0.5, (WIDTH, 2)).astype(np.float32)
     bias = np.log(np.array([1 - share, share], np.float32))
     target = np.stack([1 - label, label], 1).astype(np.float32)
-    epochs = max(EPOCHS, -(-STEPS * BATCH // len(label)))
+    epochs = max(EPOCHS, STEPS // -(-len(label) // BATCH))
     steps, step = epochs * -(-len(label) // BATCH), 0
     for _ in range(epochs):
         order = rng.permutation(len(label))

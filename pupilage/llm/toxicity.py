@@ -115,7 +115,7 @@ def learn(ids: list[np.ndarray], sizes: list[np.ndarray], label: np.ndarray, see
     rng = np.random.default_rng(seed)
     weights, first, second = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     bias, step = START, 0
-    epochs = max(EPOCHS, -(-STEPS * BATCH // len(label)))
+    epochs = max(EPOCHS, STEPS // -(-len(label) // BATCH))
     for _ in range(epochs):
         order = rng.permutation(len(label))
         for at in range(0, len(order), BATCH):
