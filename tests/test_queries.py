@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import database, difference
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -18,7 +18,7 @@ def test_query(spark, folder, name):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
