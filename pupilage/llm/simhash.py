@@ -18,12 +18,17 @@ Defined cases: null and empty texts and texts of white space have fingerprint
 zero and are linked like any other; fewer words than a shingle give one shingle
 of all words; repeated rows are rows of one class; a null doc_id never names a
 component unless all its ids are null; only ``doc_id`` and ``text`` are read.
+
+``survivors`` drops no row on fingerprints. Its classes are texts with equal sets
+of shingles, its fingerprints are made of the distinct shingles, and a pair within
+the limit is a candidate only: it links if the Jaccard similarity of the two sets,
+made from the texts, is as asked. Texts without words are a class of their own.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,9 @@ PIECE = 4 << 20
 RECALL = 0.98
 FAN = 8
 PAIRS = 1 << 19
+#: Candidates that a class writes from one bucket; with more it writes one and waits for the next round.
+DENSE = 16
+ROUNDS = 4
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
@@ -54,15 +62,9 @@ def pieces(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def fingerprint(text: bytes, shingle: int, width: int) -> np.ndarray:
-    """``width`` words of 64 bits; the second and later words mix the shingle hashes anew."""
-    counts, total, tail = np.zeros((width, 64), np.int64), 0, []
-
-    def add(hashes: np.ndarray) -> None:
-        for k in range(width):
-            own = hashes if k == 0 else mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            counts[k] += np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-
+def shingles(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the text's shingles, piece by piece."""
+    total, tail = 0, []
     for piece in pieces(text):
         words = tail + piece.lower().split()
         if len(words) < shingle:
@@ -72,12 +74,27 @@ def fingerprint(text: bytes, shingle: int, width: int) -> np.ndarray:
         size = np.fromiter(map(len, words), np.int64, len(words))
         end = np.cumsum(size + 1) - 1
         first, last = (end - size).tolist(), end.tolist()
-        add(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last[shingle - 1 :])), np.uint64, len(words) - shingle + 1))
+        yield np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last[shingle - 1 :])), np.uint64, len(words) - shingle + 1)
         total += len(words) - shingle + 1
         tail = words[len(words) - shingle + 1 :]
     if not total and tail:
-        add(np.array([xxh64_intdigest(b" ".join(tail), SEED)], np.uint64))
-        total = 1
+        yield np.array([xxh64_intdigest(b" ".join(tail), SEED)], np.uint64)
+
+
+def distinct(text: bytes, shingle: int) -> np.ndarray:
+    """The set of the text's shingle hashes, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(text, shingle)]))
+
+
+def fingerprint(hashes: Iterable[np.ndarray], width: int) -> np.ndarray:
+    """``width`` words of 64 bits; the second and later words mix the shingle hashes anew."""
+    counts, total = np.zeros((width, 64), np.int64), 0
+    for part in hashes:
+        total += len(part)
+        for k in range(width):
+            own = part if k == 0 else mixed(part + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            for at in range(0, len(own), PIECE // 8):
+                counts[k] += np.unpackbits(own[at : at + PIECE // 8].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     bits = (2 * counts > total).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(width)
 
@@ -91,7 +108,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1) -> DataFrame
             data, offsets = byte_column(batch.column("text"))
             found = np.zeros((batch.num_rows, width), np.uint64)
             for row in range(batch.num_rows):
-                found[row] = fingerprint(data[offsets[row] : offsets[row + 1]].tobytes(), shingle, width)
+                found[row] = fingerprint(shingles(data[offsets[row] : offsets[row + 1]].tobytes(), shingle), width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *(pa.array(found[:, k].view(np.int64)) for k in range(width))], ["doc_id", "hash", *names])
 
     source = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("hash"), "text")
@@ -190,10 +207,9 @@ def tables(width: int, limit: int, classes: int) -> list[np.ndarray]:
     return [rng.choice(64 * width, size, replace=False) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - once)))]
 
 
-def linked(classes: DataFrame, limit: int, width: int) -> DataFrame:
-    """A spanning forest of the links between classes (``node``, ``f0``, ...), task by task."""
+def _met(rows: DataFrame, bits: list[np.ndarray], width: int) -> DataFrame:
+    """Rows (``node``, ``f0``, ... and others) in each bucket of each table."""
     names = [f"f{k}" for k in range(width)]
-    bits = tables(width, limit, classes.count())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +221,14 @@ def linked(classes: DataFrame, limit: int, width: int) -> DataFrame:
                 key = mixed(value * np.uint64(len(bits)) + np.uint64(number))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], ["key", *batch.schema.names])
 
-    rows = classes.select("node", *names)
-    keyed = rows.mapInArrow(keys, ", ".join(["key long", "node long", *(f"{name} long" for name in names)]))
-    return by_bucket(spread(keyed, "key", "node"), _links(limit, width), "a long, b long").distinct()
+    keyed = rows.mapInArrow(keys, ", ".join(["key long", *(f"{name} long" for name in rows.columns)]))
+    return spread(keyed, "key", "node")
+
+
+def linked(classes: DataFrame, limit: int, width: int) -> DataFrame:
+    """A spanning forest of the links between classes (``node``, ``f0``, ...), task by task."""
+    rows = classes.select("node", *(f"f{k}" for k in range(width)))
+    return by_bucket(_met(rows, tables(width, limit, classes.count()), width), _links(limit, width), "a long, b long").distinct()
 
 
 def _rooted(prints: DataFrame, limit: int, width: int) -> DataFrame:
@@ -234,14 +255,131 @@ def limit_for(similarity: float, width: int) -> int:
     return math.floor(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
 
 
+def _sets(docs: DataFrame, shingle: int, width: int) -> DataFrame:
+    """``doc_id``, ``hash`` of the text, ``digest`` and ``size`` of its set of shingles and the fingerprint of that set."""
+    names = [f"f{k}" for k in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = byte_column(batch.column("text"))
+            found = np.zeros((batch.num_rows, width + 2), np.uint64)
+            for row in range(batch.num_rows):
+                own = distinct(data[offsets[row] : offsets[row + 1]].tobytes(), shingle)
+                found[row] = (xxh64_intdigest(own.tobytes(), SEED), len(own), *fingerprint([own], width))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *(pa.array(found[:, k].view(np.int64)) for k in range(width + 2))], ["doc_id", "hash", "digest", "size", *names])
+
+    source = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, ", ".join([f"doc_id {kind}", "hash long, digest long, size long", *(f"{name} long" for name in names)]))
+
+
+def _candidates(limit: int, width: int, similarity: float, turn: int, dense: int | None):
+    """Pairs of different roots within the limit whose sizes allow the similarity.
+
+    A row with more than ``dense`` pairs in its bucket writes one, to the least
+    neighbour in an order of this turn, and itself as a pair with itself. A pair
+    is left out only if both its rows do so.
+    """
+    names = [f"f{k}" for k in range(width)]
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, root = table.column("bucket").to_numpy(), table.column("root").to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        many = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+        rows = np.flatnonzero(np.repeat(many, np.diff(np.append(start, len(bucket)))))
+        if not len(rows):
+            return
+        bucket, root = bucket[rows], root[rows]
+        side, node, size = (table.column(name).to_numpy()[rows] for name in ("side", "node", "size"))
+        words = np.stack([table.column(name).to_numpy()[rows].view(np.uint64) for name in names], 1)
+        order = mixed(node.view(np.uint64) + np.uint64(turn))
+        degree = np.zeros(len(node), np.int64)
+        least = np.full(len(node), ~np.uint64(0))
+        held_i, held_j = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        back = np.argsort(order)
+        for i, j in Index(bucket, words).pairs(limit):
+            low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            meet = ((side[i] == 0) | (side[i] != side[j])) & (root[i] != root[j]) & (low >= similarity * high)
+            i, j = i[meet], j[meet]
+            if dense is None:
+                yield batch(node[i], node[j])
+                continue
+            open_ = (degree[i] <= dense) | (degree[j] <= dense)
+            degree += np.bincount(i, minlength=len(node)) + np.bincount(j, minlength=len(node))
+            np.minimum.at(least, i, order[j])
+            np.minimum.at(least, j, order[i])
+            held_i, held_j = np.concatenate([held_i, i[open_]]), np.concatenate([held_j, j[open_]])
+            few = (degree[held_i] <= dense) | (degree[held_j] <= dense)
+            held_i, held_j = held_i[few], held_j[few]
+        yield batch(node[held_i], node[held_j])
+        full = np.flatnonzero(degree > (dense or 0)) if dense is not None else np.zeros(0, np.int64)
+        # A node may have more rows in the table, one a bucket; they are all named by their node.
+        yield batch(node[full], node[back[np.searchsorted(order, least[full], sorter=back)]])
+        yield batch(node[full], node[full])
+
+    return work
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` of classes and whether their sets of shingles are similar (``linked``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [byte_column(batch.column(name)) for name in ("text_a", "text_b")]
+            near = np.zeros(batch.num_rows, bool)
+            for row in range(batch.num_rows):
+                a, b = (distinct(data[offsets[row] : offsets[row + 1]].tobytes(), shingle) for data, offsets in sides)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                near[row] = both >= similarity * (len(a) + len(b) - both)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near)], ["a", "b", "linked"])
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "least"), "node")
+    needed = needed.select("node", F.col("least.doc_id").alias("_id"), F.col("least.hash").alias("_hash"))
+    rows = only(docs, "doc_id", "text").withColumn("_hash_of", F.xxhash64("text"))
+    texts = rows.join(needed, (rows["_hash_of"] == needed["_hash"]) & rows["doc_id"].eqNullSafe(needed["_id"])).select("node", "text").dropDuplicates(["node"])
+    texts = materialize(texts, "candidate-texts")
+    a, b = (texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}")) for name in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float, width: int) -> DataFrame:
+    """``node`` and ``root`` of the components that candidates with similar sets make.
+
+    Each round checks candidates between different components. Groups with many
+    candidates are joined by one for each class first, so that a group of near
+    copies does not write all its pairs; what is then still apart writes them.
+    """
+    names = [f"f{k}" for k in range(width)]
+    limit = limit_for(similarity, width)
+    bits = tables(width, limit, classes.count())
+    active, tested, roots = classes.select("node", "size", *names).withColumn("root", F.col("node")), None, None
+    for turn in range(ROUNDS):
+        dense = DENSE if turn < ROUNDS - 1 else None
+        found = materialize(by_bucket(_met(active, bits, width), _candidates(limit, width, similarity, turn, dense), "a long, b long").distinct(), "candidates")
+        pairs = found.filter("a <> b")
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        now = materialize(_similar(materialize(pairs, "pairs"), docs, classes, shingle, similarity), "tested")
+        tested = now if tested is None else tested.unionAll(now)
+        roots = components(tested.filter("linked").select("a", "b"))
+        full = found.filter("a = b").select(F.col("a").alias("node"))
+        if dense is None or full.isEmpty():
+            break
+        active = materialize(classes.select("node", "size", *names).join(full, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "active")
+    return roots
+
+
 def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
     """One row of ``docs`` for each component, with all its columns: the least doc_id, then the least text hash."""
-    names = [f"f{k}" for k in range(width)]
-    prints = materialize(fingerprints(docs, shingle, width), "fingerprints")
-    placed = _rooted(prints, limit_for(similarity, width), width)
-    # Of equal fingerprints one row can stay at most; so few rows are left for the component's choice.
+    sets = materialize(_sets(docs, shingle, width), "sets")
+    # Of equal sets one row can stay at most; so few rows are left for the component's choice.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")
-    chosen = prints.groupBy(*names).agg(least).join(placed.select(*names, "root"), names).groupBy("root").agg(F.min("least").alias("least"))
+    classes = materialize(sets.groupBy(*(f"f{k}" for k in range(width)), "digest", "size").agg(least).withColumn("node", F.monotonically_increasing_id()), "classes")
+    roots = _verified(docs, classes, shingle, similarity, width)
+    chosen = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     chosen = chosen.select(F.col("least.doc_id").alias("_kept_id"), F.col("least.hash").alias("_kept_hash"))
     rows = docs.withColumn("_hash", F.xxhash64(docs["text"]))
     kept = rows.join(chosen, (rows["_hash"] == chosen["_kept_hash"]) & rows["doc_id"].eqNullSafe(chosen["_kept_id"]), "left_semi")

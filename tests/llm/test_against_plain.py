@@ -80,6 +80,23 @@ def test_near_copies_survive_once(spark):
     assert sorted(r.doc_id for r in kept) == list(range(0, 120, 4))
 
 
+def test_only_similar_shingle_sets_link(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: rng.choice(plain.WORDS) + str(rng.randint(0, 99999))
+    shared, repeated = [word() for _ in range(170)], "word " * 1500
+    # Families that share half to two thirds of their shingles, or one shingle very often, and a large group of near copies.
+    rows = [" ".join(shared + [word() for _ in range(45)]) for _ in range(150)]
+    rows += [repeated + " ".join(word() for _ in range(30)) for _ in range(20)]
+    base = [word() for _ in range(200)]
+    rows += [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in range(0, 200, 2)] + ["?!", " ", None]
+    sets = [set(simhash.distinct((t or "").encode(), 5).tolist()) for t in rows]
+    root = plain.components(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "DENSE", 4)
+    assert len(set(root)) == 150 + 20 + 1 + 2
+    assert sorted(r.doc_id for r in simhash.survivors(docs).collect()) == sorted({min(k for k in range(len(rows)) if root[k] == r) for r in set(root)})
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5000, 5000), (7, 7)] + [(2000 - k, 1999 - k) for k in range(50)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
