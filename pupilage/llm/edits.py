@@ -246,7 +246,7 @@ def _edge(number: np.ndarray, length: np.ndarray, pieces: np.ndarray) -> np.ndar
 
 
 def lots(column: pa.Array, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row numbers, normal bytes, offsets, original byte of each) of blocks; parts of a long text overlap."""
+    """(row numbers, normal bytes, offsets, original byte of each) of blocks; parts of a long text overlap by ``overlap`` normal bytes."""
     data, offsets = byte_column(column)
     row = 0
     while row < len(column):
@@ -257,9 +257,17 @@ def lots(column: pa.Array, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarra
             yield np.arange(row, last), low, np.searchsorted(at, offsets[row : last + 1] - start), at
             row = last
             continue
-        for start in range(int(offsets[row]), int(offsets[row + 1]), BLOCK):
-            low, at = normal(data[start : min(int(offsets[row + 1]), start + BLOCK + overlap)])
-            yield np.array([row]), low, np.array([0, len(low)]), at + (start - int(offsets[row]))
+        held, places = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        begin, end, fresh = int(offsets[row]), int(offsets[row + 1]), 0
+        for start in range(begin, end, BLOCK):
+            low, at = normal(data[start : min(end, start + BLOCK)])
+            # A run of white space across the cut is one space.
+            again = int(len(held) > 0 and held[-1] == 32 and low[0] == 32)
+            held, places = np.concatenate([held, low[again:]]), np.concatenate([places, at[again:] + (start - begin)])
+            fresh += len(low) - again
+            if fresh >= BLOCK // 2 or start + BLOCK >= end:
+                yield np.array([row]), held, np.array([0, len(held)]), places
+                held, places, fresh = held[max(0, len(held) - overlap) :], places[max(0, len(held) - overlap) :], 0
         row += 1
 
 

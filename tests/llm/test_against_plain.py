@@ -143,6 +143,18 @@ def test_edit_matches(spark):
     assert {(r.doc_id, r.item_id, r.distance) for r in found.collect()} == want
 
 
+def test_spaced_out_passage_across_parts(spark):
+    rng = random.Random(12)
+    item = " ".join(rng.choice(plain.WORDS) + str(rng.randint(0, 999)) for _ in range(60))
+    wide = item.replace(" ", " \n" + " " * 40)
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    # The passage lies across the first cut, begins or ends there, or has a whole part of white space inside.
+    texts = ["z" * ((1 << 20) - before) + " " + wide + " " + "y" * 5000 for before in (10, len(wide) // 2, len(wide) - 10, len(wide) + 1)]
+    texts += [item[:200] + " " * (3 << 20) + item[200:], "q" * (1 << 20) + item[:200] + "\n" * (5 << 20) + item[200:] + "q" * (2 << 20), "z" * (3 << 20)]
+    found = edits.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), benchmark).collect()
+    assert {r.doc_id for r in found} == set(range(6))
+
+
 def test_packing_gives_back_the_ids(spark):
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     from tokenizers import Tokenizer
