@@ -54,11 +54,12 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, limit: int = BLOCK, ends: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row numbers, bytes, offsets) of blocks of about ``limit`` bytes.
 
     A longer text comes in several pieces, cut before white space where there
-    is some (the white space begins the later piece), else at the limit.
+    is some (the white space begins the later piece), else at the limit; where
+    ``ends`` names bytes that end a sentence, after the last of those first of all.
     """
     data, offsets = byte_column(column)
     rows, row = len(column), 0
@@ -72,7 +73,8 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[np.ndarray, n
         while at < end:
             stop = min(end, at + limit)
             if stop < end:
-                gaps = np.flatnonzero(SPACE[data[at + 1 : stop]])
+                last = np.flatnonzero(ends[data[at:stop]]) if ends is not None else np.zeros(0, np.int64)
+                gaps = last if len(last) else np.flatnonzero(SPACE[data[at + 1 : stop]])
                 stop = at + 1 + int(gaps[-1]) if len(gaps) else stop
             yield np.array([row]), data[at:stop], np.array([0, stop - at])
             at = stop

@@ -1,8 +1,10 @@
 """Toxicity by multiple-instance learning: a text is toxic if any sentence is.
 
 A sentence's score is the logistic of the summed weights of its distinct words
-(runs of letters, lower case, and their beginnings, hashed), a text's score the noisy-or of its
-sentences: ``1 - product(1 - score)``. Weights are learned from labels of whole
+(runs of letters, lower case, and their beginnings, hashed). What a sentence without weight would
+get is no evidence: a text has that chance once, whatever its length, and a
+sentence's odds over it count. A text's score is the noisy-or of these:
+``1 - (1 - base) * product((1 - score) / (1 - base))``. Weights are learned from labels of whole
 texts alone, by adaptive gradient steps in numpy, on at most ``TRAIN_ROWS``
 labelled rows chosen by a hash of their id; no sentence has a label.
 ``sentences`` then gives the sentences that make a text toxic.
@@ -10,8 +12,8 @@ labelled rows chosen by a hash of their id; no sentence has a label.
 Defined cases: null and empty texts have no sentence and get the score of one
 sentence without words; without labelled rows, or with one label only, all
 scores are the share of label 1; a null label is no label; a repeated row is
-scored each time. A sentence longer than a block is read in pieces, each a
-sentence of its own. Only ``doc_id`` and ``text`` are read, so other columns
+scored each time. Long texts are cut at sentence ends; a sentence longer than a
+block is read in pieces, each a sentence of its own. Only ``doc_id`` and ``text`` are read, so other columns
 cannot clash.
 """
 
@@ -39,7 +41,7 @@ BATCH = 256
 STEPS = 900
 RATE = 0.1
 DECAY = 2e-6
-#: Chance of a sentence without any known word, as a logit.
+#: Chance of a text without any known word, as a logit.
 START = -8.0
 #: Bytes of word beginnings that are features beside the word.
 BEGINNINGS = (4, 5, 6)
@@ -84,7 +86,7 @@ def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column("text")
         found: list[list] = [[] for _ in range(len(column))]
-        for rows, data, offsets in blocks(column, LOT):
+        for rows, data, offsets in blocks(column, LOT, STOP):
             at, bucket = words(data, offsets)
             cut = np.searchsorted(at, offsets)
             for k, row in enumerate(rows):
@@ -126,7 +128,8 @@ def learn(ids: list[np.ndarray], sizes: list[np.ndarray], label: np.ndarray, see
             texts = np.array([len(sizes[k]) for k in some])
             score = np.clip(_sums(weights[bucket], size) + bias, -30, 30)
             chance = 1 / (1 + np.exp(-score))
-            miss = np.clip(_sums(-np.log1p(np.exp(score)), texts), -50, -1e-9)
+            base = np.log1p(np.exp(bias))
+            miss = np.clip(_sums(base - np.log1p(np.exp(score)), texts) - base, -50, -base)
             toxic = -np.expm1(miss)
             # Of the log loss by a sentence's logit: its chance for a clean text, minus its odds share for a toxic one.
             factor = np.where(label[some] > 0, -(1 - toxic) / toxic, 1.0) / len(some)
@@ -164,12 +167,12 @@ def scores(docs: DataFrame, model: ToxicModel, *keep: str) -> DataFrame:
         model = shared.value
         for batch in batches:
             column = batch.column("text")
-            miss = np.zeros(len(column))
-            for rows, data, offsets in blocks(column, LOT):
+            miss, base = np.zeros(len(column)), np.log1p(np.exp(model.bias))
+            for rows, data, offsets in blocks(column, LOT, STOP):
                 at, logit = _sentence_logits(data, offsets, model)
                 text = np.searchsorted(offsets, at, side="right") - 1
-                miss[rows] += np.bincount(text, -np.log1p(np.exp(np.clip(logit, -500, 500))), len(rows))
-            score = -np.expm1(np.where(miss == 0, -np.log1p(np.exp(model.bias)), miss))
+                miss[rows] += np.bincount(text, base - np.log1p(np.exp(np.clip(logit, -500, 500))), len(rows))
+            score = -np.expm1(miss - base)
             score = np.full(len(column), model.constant) if model.constant is not None else np.clip(score, 0, 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in keep), pa.array(score)], [*keep, "score"])
 
@@ -186,7 +189,7 @@ def sentences(docs: DataFrame, model: ToxicModel, least: float = 0.5) -> DataFra
         model = shared.value
         for batch in batches:
             column, out, before = batch.column("text"), [], {}
-            for rows, data, offsets in blocks(column, LOT):
+            for rows, data, offsets in blocks(column, LOT, STOP):
                 at, logit = _sentence_logits(data, offsets, model)
                 cuts = np.union1d(np.flatnonzero(STOP[data]) + 1, offsets)
                 for start, score in zip(at, 1 / (1 + np.exp(-np.clip(logit, -500, 500)))):

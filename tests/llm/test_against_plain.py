@@ -273,6 +273,21 @@ def test_offending_sentences(spark):
     assert found and all(texts[r.doc_id][r.start : r.start + r.length].decode("utf-8", "replace") == r.sentence for r in found)
 
 
+def test_long_texts_are_not_toxic_by_length(spark):
+    from pupilage.llm import toxicity
+
+    weights = np.zeros(toxicity.BUCKETS, np.float32)
+    bad = np.frombuffer(b"vile words", np.uint8)
+    weights[toxicity.words(bad, np.array([0, len(bad)]))[1]] = 4.0
+    model = toxicity.ToxicModel(weights, toxicity.START)
+    clean, filler = "This sentence says nothing of note at all. ", "a" * (toxicity.LOT - 60)
+    # The last two have the offending sentence alone and across the end of a block.
+    texts = [clean * 10_000, None, clean, "some vile words here.", filler + ". " + "some " * 11 + "vile words here, and more of it. " + filler]
+    got = {r.doc_id: r.score for r in toxicity.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, "doc_id").collect()}
+    assert abs(got[0] - got[1]) < 1e-9 and abs(got[2] - got[1]) < 1e-9 and got[0] < 0.001
+    assert abs(got[4] - got[3]) < 1e-9 and got[3] > 0.5
+
+
 def test_pipeline_does_what_its_stages_say(spark):
     folder, docs = FOLDER, spark.read.parquet(f"{FOLDER}/documents.parquet")
     benchmark = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
