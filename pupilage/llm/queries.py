@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pupilage.llm import chat, edits, lattice, licenses, packing, quality, sharding, simhash, suffix, toxicity
+from pupilage.llm import alignment, chat, edits, lattice, licenses, packing, periodic, quality, sharding, simhash, suffix, toxicity, voronoi
 from pupilage.llm.texts import held_out
 
 
@@ -69,6 +69,21 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return edits.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.linked(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digests(periodic.scan(periodic.planted(table(spark, folder, "documents"))))
+
+
+def op13_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return voronoi.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +95,24 @@ QUERIES = {
     "op8_lattice": op8_lattice,
     "op9_simhash": op9_simhash,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 #: Queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_exact_top_k": """
+        WITH given AS (
+            SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score
+            FROM given q JOIN given x ON x.vec_id <> q.vec_id
+            WHERE q.vec_id % 50 = 0),
+        ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}
