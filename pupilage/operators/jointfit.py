@@ -1,17 +1,19 @@
 """Fit one or many students over the same rows at once.
 
 Cross-validation needs one fit per candidate and fold. Fitting them one by one
-reads (or caches) the features once per fit; here every pass over the rows
-serves all fits that are still running, and each row is skipped by the fits
-whose fold it belongs to. The final fit is the same with one job that skips no
-fold, so selection and fit share the objective, the steps and the stopping rule.
+reads (or caches) the features once per fit; here all fits share the rows, and
+each row is skipped by the fits whose fold it belongs to. The final fit is the
+same with one job that skips no fold, so selection and fit share the objective,
+the steps and the stopping rule. Rows that the tasks of one stage can hold are
+fitted inside that stage (``stagefit``); else every pass over the rows is a Spark
+job that serves all fits still running.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pupilage.config import TaskSpec, TrainingError
+from pupilage.operators import stagefit
 from pupilage.operators.student import BETA1, BETA2, EPSILON, PROBABILITY_FLOOR, Fit, LinearModel, _batch_struct, _cells, _probabilities
 
 MEMORY = 10
@@ -38,6 +41,8 @@ class Job:
     left_out: int
     weights: tuple[float, ...]
     total: float
+    #: Classes without a row have no minimum, as their bias would fall for ever; these end at ``ABSENT_BIAS``.
+    absent: tuple[int, ...] = ()
 
 
 @dataclass
@@ -160,38 +165,97 @@ def joint_sums(rows: DataFrame, points: list[np.ndarray], jobs: list[Job], class
 
 @dataclass(frozen=True)
 class Fitted:
-    """``loss`` is the penalised objective at the model (before its last step for Adam)."""
+    """``loss`` is the penalised objective at the model (before its last step for Adam).
+
+    ``hits`` of ``tested`` rows were right: those of the fold left out, or all
+    rows where none was.
+    """
 
     model: LinearModel
     loss: float
     converged: bool
+    hits: int
+    tested: int
+
+
+def _starts(count: int, size: int, method: str, rate: float) -> list:
+    return [AdamSteps(np.zeros(size), rate) if method == "adam" else Descent(np.zeros(size)) for _ in range(count)]
+
+
+def _finished(job: Job, steps, classes: int, dimensions: int) -> tuple[LinearModel, float, bool, int | None]:
+    model = _unpack(steps.x.copy(), classes, dimensions)
+    for k in job.absent:
+        model.weights[k], model.bias[k] = 0.0, ABSENT_BIAS
+    return model, steps.f, steps.converged, None if job.left_out == NO_FOLD else job.left_out
+
+
+def _by_passes(rows: DataFrame, jobs: list[Job], classes: int, dimensions: int, passes: int, method: str, rate: float) -> list[Fitted]:
+    """A Spark job a pass."""
+    penalty = np.concatenate([np.ones(classes * dimensions), np.zeros(classes)])
+    steps = _starts(len(jobs), classes * (dimensions + 1), method, rate)
+    for _ in range(passes):
+        active = [i for i, d in enumerate(steps) if not d.done]
+        if not active:
+            break
+        points = [steps[i].trial() for i in active]
+        sums = joint_sums(rows, points, [jobs[i] for i in active], classes, dimensions)
+        for i, point, (loss, gradient) in zip(active, points, sums):
+            penalized = point * penalty
+            f = loss / jobs[i].total + 0.5 * jobs[i].l2 * float(penalized @ penalized)
+            steps[i].observe(f, gradient / jobs[i].total + jobs[i].l2 * penalized)
+    ends = [_finished(job, d, classes, dimensions) for job, d in zip(jobs, steps)]
+    tested = left_out_hits(rows, [e[0] for e in ends], jobs)
+    return [Fitted(model, loss, converged, *pair) for (model, loss, converged, _), pair in zip(ends, tested)]
+
+
+def _in_stage(rows: DataFrame, jobs: list[Job], classes: int, dimensions: int, passes: int, method: str, rate: float, grid: stagefit.Grid, started=None) -> list[Fitted]:
+    size = classes * (dimensions + 1)
+    found = stagefit.run_jobs(
+        rows, jobs, lambda: _starts(len(jobs), size, method, rate), lambda job, steps: _finished(job, steps, classes, dimensions),
+        classes, dimensions, passes, grid, started,
+    )
+    return [Fitted(_unpack(point, classes, dimensions), *rest) for point, *rest in found]
+
+
+def cell_count(features: str = "features"):
+    """Stored values of a vector column, per row."""
 
+    def count(vectors: pa.Array) -> pa.Array:
+        return vectors.field("values").value_lengths().cast(pa.int64())
 
-def fit_many(rows: DataFrame, jobs: list[Job], classes: int, dimensions: int, passes: int, method: str = "lbfgs", rate: float = 0.05) -> list[Fitted]:
+    return F.arrow_udf(count, "bigint")(features)
+
+
+def slots_of(rows: DataFrame) -> tuple[int, bool]:
+    """Tasks that run at once, and whether a stage may need all of them at once."""
+    context = rows.sparkSession.sparkContext
+    return context.defaultParallelism, context.getConf().get("spark.dynamicAllocation.enabled", "false").lower() != "true"
+
+
+def fit_many(rows: DataFrame, jobs: list[Job], classes: int, dimensions: int, passes: int, method: str = "lbfgs", rate: float = 0.05,
+             cells: int | None = None, started=None) -> list[Fitted]:
     """Minimise every job's class-weighted objective (see ``loss_and_gradient``).
 
-    ``rows`` (features, label_index, fold) should be written or kept: they are
-    read once per pass. ``passes`` bounds the passes of a job; whether a job
-    ended before is part of the result.
+    ``rows`` (features, label_index, fold) should be written or kept: without a
+    grid that holds them they are read once per pass. ``passes`` bounds the passes
+    of a job; whether a job ended before is part of the result. ``cells`` is the
+    number of stored values in ``features``, counted here if it is not given.
     """
+    if not jobs:
+        return []
     size = classes * (dimensions + 1)
+    if cells is None:
+        cells = rows.agg(F.coalesce(F.sum(cell_count()), F.lit(0)).alias("n")).first()["n"]
     at_once = max(1, MAX_PARAMETERS // size)
-    penalty = np.concatenate([np.ones(classes * dimensions), np.zeros(classes)])
+    slots, barrier = slots_of(rows)
     found: list[Fitted] = []
     for start in range(0, len(jobs), at_once):
         chunk = jobs[start : start + at_once]
-        steps = [AdamSteps(np.zeros(size), rate) if method == "adam" else Descent(np.zeros(size)) for _ in chunk]
-        for _ in range(passes):
-            active = [i for i, d in enumerate(steps) if not d.done]
-            if not active:
-                break
-            points = [steps[i].trial() for i in active]
-            sums = joint_sums(rows, points, [chunk[i] for i in active], classes, dimensions)
-            for i, point, (loss, gradient) in zip(active, points, sums):
-                penalized = point * penalty
-                f = loss / chunk[i].total + 0.5 * chunk[i].l2 * float(penalized @ penalized)
-                steps[i].observe(f, gradient / chunk[i].total + chunk[i].l2 * penalized)
-        found += [Fitted(_unpack(d.x, classes, dimensions), d.f, d.converged) for d in steps]
+        grid = stagefit.layout(cells, len(chunk), size, classes, slots, barrier)
+        if grid is None:
+            found += _by_passes(rows, chunk, classes, dimensions, passes, method, rate)
+        else:
+            found += _in_stage(rows, chunk, classes, dimensions, passes, method, rate, grid, started)
     return found
 
 
@@ -204,29 +268,41 @@ def job_for(l2: float, counts: np.ndarray, mode: str, left_out: int = NO_FOLD) -
     return Job(float(l2), left_out, tuple(weights.tolist()), float((weights * counts).sum()))
 
 
-def fit_student(train: DataFrame, spec: TaskSpec, dimensions: int, l2: float, method: str = "lbfgs") -> Fit:
-    """Fit (``features``, ``label_index``) rows; one more pass counts the hits."""
+@dataclass(frozen=True)
+class Extent:
+    """Rows per fold and label, and stored values: all that a fit must know before it starts."""
+
+    counts: np.ndarray
+    cells: int
+
+
+def extent(rows: DataFrame, folds: int, classes: int) -> Extent:
+    counts, cells = np.zeros((folds, classes)), 0
+    for r in rows.groupBy("fold", "label_index").agg(F.count(F.lit(1)).alias("n"), F.sum(cell_count()).alias("c")).collect():
+        counts[r["fold"], r["label_index"]] = r["n"]
+        cells += r["c"]
+    return Extent(counts, cells)
+
+
+def fit_student(train: DataFrame, spec: TaskSpec, dimensions: int, l2: float, method: str = "lbfgs", known: Extent | None = None) -> Fit:
+    """Fit (``features``, ``label_index``) rows; ``known`` is their extent, in any folds."""
     settings, classes = spec.student, len(spec.labels)
     rows = train.select("features", "label_index", F.lit(0).alias("fold"))
-    counts = np.zeros(classes)
-    for r in rows.groupBy("label_index").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts[r["label_index"]] = r["n"]
+    known = known or extent(rows, 1, classes)
+    counts = known.counts.sum(axis=0)
     if not counts.sum():
         raise TrainingError("no training rows")
-    job = job_for(l2, counts, settings.class_weighting)
-    fitted = fit_many(rows, [job], classes, dimensions, settings.epochs, method, settings.learning_rate)[0]
+    absent = tuple(np.flatnonzero(counts == 0).tolist()) if method != "adam" else ()
+    job = replace(job_for(l2, counts, settings.class_weighting), absent=absent)
+    fitted = fit_many(rows, [job], classes, dimensions, settings.epochs, method, settings.learning_rate, known.cells)[0]
     if not np.isfinite(fitted.loss):
         raise TrainingError("the loss is no longer finite; try a smaller learning rate")
-    if method != "adam":
-        # Labels without a row have no minimum: their bias would fall for ever.
-        fitted.model.weights[counts == 0], fitted.model.bias[counts == 0] = 0.0, ABSENT_BIAS
     fitted.model.check()
-    hits, seen = left_out_hits(rows, [fitted.model], [Job(l2, 0, job.weights, job.total)])[0]
-    return Fit(fitted.model, fitted.loss, hits / seen, fitted.converged)
+    return Fit(fitted.model, fitted.loss, fitted.hits / fitted.tested, fitted.converged)
 
 
 def left_out_hits(rows: DataFrame, models: list[LinearModel], jobs: list[Job]) -> list[tuple[int, int]]:
-    """(hits, rows) of every model on the fold it has not seen; a pass for each lot of models that may be broadcast."""
+    """(hits, rows) of every model on the fold it has not seen, or on all rows; a pass for each lot of models that may be broadcast."""
     at_once = max(1, MAX_PARAMETERS // (models[0].classes * (models[0].dimensions + 1))) if models else 1
     return [pair for k in range(0, len(jobs), at_once) for pair in _hits(rows, models[k : k + at_once], jobs[k : k + at_once])]
 
@@ -239,15 +315,16 @@ def _hits(rows: DataFrame, models: list[LinearModel], jobs: list[Job]) -> list[t
         truth, place = label.to_numpy(zero_copy_only=False), fold.to_numpy(zero_copy_only=False)
         hits = np.zeros((n, len(shared.value)), np.int32)
         for m, (weights, bias, left_out) in enumerate(shared.value):
-            if (place == left_out).any():
-                hits[:, m] = (_probabilities(cells, n, weights, bias).argmax(axis=1) == truth) & (place == left_out)
+            tested = (place == left_out) | (left_out == NO_FOLD)
+            if tested.any():
+                hits[:, m] = (_probabilities(cells, n, weights, bias).argmax(axis=1) == truth) & tested
         offsets = np.arange(n + 1, dtype=np.int32) * hits.shape[1]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(hits.ravel()))
 
     judged = rows.select("fold", F.arrow_udf(judge, "array<int>")("features", "label_index", "fold").alias("hits"))
     summed = judged.agg(
         *[F.sum(F.col("hits")[m]).alias(f"h{m}") for m in range(len(jobs))],
-        *[F.count_if(F.col("fold") == j.left_out).alias(f"n{m}") for m, j in enumerate(jobs)],
+        *[F.count_if((F.col("fold") == j.left_out) | F.lit(j.left_out == NO_FOLD)).alias(f"n{m}") for m, j in enumerate(jobs)],
     ).first()
     shared.unpersist()
     return [(summed[f"h{m}"] or 0, summed[f"n{m}"]) for m in range(len(jobs))]

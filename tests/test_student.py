@@ -6,11 +6,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from pupilage.config import Gate, InputField, Label, ModelError, StudentSettings, TrainingError
-from pupilage.operators import features, jointfit, metrics, student
+from pupilage.operators import features, jointfit, metrics, stagefit, student
+from pupilage.operators.stagefit import Grid
 from pupilage.plans import score
 from pupilage.plans import train as training
 from pupilage.sources import models
-from pupilage.sources.storage import fresh_path
+from pupilage.sources.storage import fresh_path, materialize
 from tests.fixtures import records_for, rows_of, task, truth_of, verb_rows
 
 
@@ -229,3 +230,73 @@ def test_noul_answers_map_to_two_labels(spark):
     df = spark.createDataFrame([(0.8,), (None,)], "noul double")
     found = [r[0] for r in df.select(answer_to_probabilities(spec, F.lit(None).cast("map<string,double>"), F.col("noul"))).collect()]
     assert found[0] == pytest.approx([0.2, 0.8]) and found[1] is None
+
+
+def folded_points(spark):
+    x, y, w, df = points(spark)
+    return df.withColumn("fold", F.pmod(F.monotonically_increasing_id(), F.lit(3)).cast("int")).repartition(3)
+
+
+@pytest.mark.parametrize("grid", [(1, 1), (1, 3), (2, 2), (4, 1)])
+def test_fits_inside_a_stage_end_where_fits_by_passes_do(spark, grid):
+    """One shard or several that exchange sums, one group of jobs or several; every model and its hits agree."""
+    rows = materialize(folded_points(spark), "folded")
+    counts = jointfit.extent(rows, 3, 3).counts
+    jobs = [jointfit.job_for(l2, counts.sum(axis=0) - counts[k], "balanced", k) for l2 in (0.05, 0.5) for k in range(3)]
+    jobs.append(jointfit.Job(0.1, jointfit.NO_FOLD, (1.0, 1.0, 1.0), float(counts.sum()), (2,)))
+    for method in ("lbfgs", "adam"):
+        want = jointfit._by_passes(rows, jobs, 3, 5, 40, method, 0.05)
+        got = jointfit._in_stage(rows, jobs, 3, 5, 40, method, 0.05, Grid(*grid))
+        for a, b in zip(want, got):
+            assert b.loss == pytest.approx(a.loss, rel=1e-9) and (a.converged, a.hits, a.tested) == (b.converged, b.hits, b.tested)
+            assert b.model.weights == pytest.approx(a.model.weights, abs=1e-6)
+
+
+def test_shards_without_rows_take_part(spark):
+    rows = folded_points(spark).limit(2).withColumn("fold", F.lit(0))
+    job = jointfit.Job(0.1, jointfit.NO_FOLD, (1.0, 1.0, 1.0), 2.0)
+    want = jointfit._by_passes(rows, [job], 3, 5, 30, "lbfgs", 0.05)[0]
+    got = jointfit._in_stage(rows, [job], 3, 5, 30, "lbfgs", 0.05, Grid(4, 1))[0]
+    assert got.loss == pytest.approx(want.loss) and got.tested == 2
+
+
+def test_a_stage_whose_task_dies_starts_again(spark, tmp_path):
+    """One of four exchanging tasks fails once; the stage is tried again and the fit is the same."""
+    rows = materialize(folded_points(spark), "folded")
+    job = jointfit.Job(0.1, jointfit.NO_FOLD, (1.0, 1.0, 1.0), float(rows.count()))
+    folder = str(tmp_path)
+
+    def started(task):
+        with open(f"{folder}/task-{task}", "a") as log:
+            log.write("x")
+        if task == 2 and open(f"{folder}/task-{task}").read() == "x":
+            raise RuntimeError("this executor is lost")
+
+    got = jointfit._in_stage(rows, [job], 3, 5, 30, "lbfgs", 0.05, Grid(4, 1), started)[0]
+    assert len((tmp_path / "task-2").read_text()) == 2
+    want = jointfit._by_passes(rows, [job], 3, 5, 30, "lbfgs", 0.05)[0]
+    assert got.loss == pytest.approx(want.loss) and got.converged == want.converged
+
+
+def test_layout_stays_within_its_bounds():
+    assert stagefit.layout(1000, 15, 3 * 4097, 3, 8).shards == 1
+    many = stagefit.layout(20_000_000, 15, 3 * 4097, 3, 64)
+    assert many.shards >= 3 and many.tasks <= 64
+    assert stagefit.layout(20_000_000, 15, 3 * 4097, 3, 64, barrier=False) is None
+    assert stagefit.layout(10**12, 15, 3 * 4097, 3, 1000) is None
+    assert stagefit.layout(1000, 1, 32 * 262_145, 32, 8) is None
+
+
+def test_selection_and_fit_take_few_jobs(spark):
+    x, y, w, df = points(spark)
+    spec = task(student=StudentSettings(hash_dimensions=1024, l2_grid=(0.0005, 0.005, 0.05)))
+    rows = materialize(df.withColumn("content_hash", F.sha2("id", 256)), "few")
+    tracker, group = spark.sparkContext.statusTracker(), "selection-and-fit"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        selection = training.select_l2(rows, spec, 5)
+        fitted = jointfit.fit_student(rows, spec, 5, selection.l2, known=selection.known)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert selection.folds == 5 and fitted.converged
+    assert 0 < len(tracker.getJobIdsForGroup(group)) <= 10
