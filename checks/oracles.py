@@ -344,6 +344,9 @@ WHERE NOT (bu > 0.95) AND NOT (b.status = 'labeled' AND (bu < 0.1 OR bu BETWEEN
 ORACLES["read_labels_appended"] = f"WITH {DOC_RECORDS} SELECT id, status, teacher FROM records"
 ORACLES["merge_with_late_append"] = last_by("(status <> 'accepted') DESC, seq DESC")
 ORACLES["upsert_stream_replay"] = last_by("(status = 'accepted') DESC, seq DESC")
+ORACLES["merge_conflict"] = f"""SELECT *, 2::INTEGER AS merges FROM ({last_by("(status = 'error') DESC, (status = 'uncertain') DESC, seq DESC")})"""
+FEW = "(regexp_extract(id, '[0-9]+')::BIGINT % 50 = 0 AND status = 'accepted')"
+ORACLES["merge_touched_buckets"] = f"SELECT *, 0::BIGINT AS needless, 0::BIGINT AS missed FROM ({last_by(f'{FEW} DESC, seq DESC')})"
 
 # ---- split -----------------------------------------------------------------------------
 

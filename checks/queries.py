@@ -407,20 +407,46 @@ def merge_with_late_append(spark, folder):
     log = event_records(spark, folder)
     store = record_source.LabelStore(spark, fresh_path(spark, "labels"))
     store.append(log.filter(F.col("status") == "accepted"))
-    folder_before = store.generation()
-    late = log.filter(F.col("status") != "accepted")
-    original = store._committed
+    merge = store.prepare(spark.createDataFrame([], records.RECORD))
+    store.append(log.filter(F.col("status") != "accepted"))
+    store.commit(merge)
+    return store.latest().select(*SHOWN)
+
+
+@query
+def merge_conflict(spark, folder):
+    """Two merges begin at one state: the second commit is refused and made again on top of the first."""
+    log = event_records(spark, folder)
+    store = record_source.LabelStore(spark, fresh_path(spark, "labels"))
+    store.append(log.filter(F.col("status") == "accepted"))
+    first = store.prepare(log.filter(F.col("status") == "uncertain"))
+    second = store.prepare(log.filter(F.col("status") == "error"))
+    store.commit(first)
+    try:
+        store.commit(second)
+    except record_source.Conflict:
+        store.merge(log.filter(F.col("status") == "error"))
+    return store.latest().select(*SHOWN, F.lit(store.generation()).alias("merges"))
 
-    def landed() -> list[str]:
-        tags = original()
-        if store.generation() == folder_before and "late" not in tags:
-            store.append(late, tag="late")
-        return tags
 
-    store._committed = landed
+@query
+def merge_touched_buckets(spark, folder):
+    """A merge of every 50th user rewrites the buckets of those users and leaves the others where they were."""
+    log = event_records(spark, folder)
+    store = record_source.LabelStore(spark, fresh_path(spark, "labels"), buckets=64)
+    store.append(log)
     store.compact()
-    store._committed = original
-    return store.latest().select(*SHOWN)
+    before = store.state()[1]["buckets"]
+    few = log.filter((F.regexp_extract("id", "[0-9]+", 0).cast("bigint") % 50 == 0) & (F.col("status") == "accepted"))
+    store.merge(few)
+    after = store.state()[1]["buckets"]
+    moved = spark.createDataFrame([(int(b), before.get(b) != gen) for b, gen in after.items()], "bucket int, rewritten boolean")
+    bucket = record_source.bucket_of(F.col("id"), 64).alias("bucket")
+    asked = few.select(bucket, F.lit(True).alias("asked")).distinct()
+    found = moved.join(asked, "bucket", "left").agg(
+        F.count_if(F.col("rewritten") & F.col("asked").isNull()).alias("needless"), F.count_if(~F.col("rewritten") & F.col("asked")).alias("missed")
+    )
+    return store.latest().select(*SHOWN).crossJoin(F.broadcast(found))  # one row beside each
 
 
 @query

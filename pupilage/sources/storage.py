@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, width: int, name: str = "bucketed") -> DataFrame:
+    """Write once in ``width`` buckets of ``key``: joins with another table of as many buckets need no shuffle."""
+    spark = df.sparkSession
+    table = f"pupilage_{uuid.uuid4().hex}"
+    df.repartition(width, key).write.format("parquet").bucketBy(width, key).sortBy(key).option("path", fresh_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -52,3 +61,18 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     target = jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
+
+
+def list_ages(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """Names directly under a folder and the seconds since each was last changed."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    now = time.time()
+    return [(s.getPath().getName(), now - s.getModificationTime() / 1000) for s in files.listStatus(target)] if files.exists(target) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -35,16 +35,20 @@ def quarantine_stream(lines: DataFrame, student: Student) -> DataFrame:
     return checked_stream(lines, student).filter(F.size("violations") > 0).select("id", "input", "violations")
 
 
-def upsert_labels(records: DataFrame, store: LabelStore, checkpoint: str) -> DataStreamWriter:
+def upsert_labels(records: DataFrame, store: LabelStore, checkpoint: str, fold_every: int = 0) -> DataStreamWriter:
     """Keep ``store`` current from a stream of teacher records.
 
-    Each micro-batch is one append named by its batch id, so its cost follows
-    the batch and a replayed batch replaces itself. Readers see the last
-    record per id; ``store.compact()`` folds the appends now and then.
+    Each micro-batch is one append numbered by its batch id, so its cost follows
+    the batch and a replayed batch is known without a list of all that came
+    before; the checkpoint names the writer. Readers see the last record per id.
+    After every ``fold_every`` batches the appends are folded into the buckets they
+    touch (0: never; ``store.compact()`` does it at any time).
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        store.append(latest_per_id(batch), tag=f"stream-{batch_id:012d}")
+        store.append(latest_per_id(batch), writer=checkpoint, number=batch_id)
+        if fold_every and (batch_id + 1) % fold_every == 0:
+            store.compact()
 
     return records.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
 

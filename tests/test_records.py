@@ -1,5 +1,6 @@
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pupilage.operators.identity import with_content_hash
 from pupilage.operators.teacher import Teacher, label
 from pupilage.plans import importing
 from pupilage.sources.dataset import read_dataset
-from pupilage.sources.records import LabelStore, read_labels, read_ledger, read_ledger_lines, write_labels
+from pupilage.sources.commits import CommitLog
+from pupilage.sources.records import Conflict, LabelStore, bucket_of, read_labels, read_ledger, read_ledger_lines, write_labels
+from pupilage.sources.storage import bucketed
 from tests.fixtures import counts, ids, records_for, rows_of, task
 
 
@@ -185,26 +188,123 @@ def test_store_appends_replays_and_compacts(spark, tmp_path):
     assert store.latest().filter("id = 'pool-1'").first()["label"] == "ask"
 
 
-def test_append_during_a_merge_is_not_lost(spark, tmp_path, monkeypatch):
+def test_append_during_a_merge_is_not_lost(spark, tmp_path):
     spec = task()
     found = records_for(spark, spec, pool(spark, spec, 4))
     store = LabelStore(spark, str(tmp_path / "store"))
     store.append(found.filter("id <> 'pool-3'"))
-    listed = store._committed
-
-    def late():
-        tags = listed()
-        store.append(found.filter("id in ('pool-1', 'pool-3')").withColumn("label", F.lit("deny")), tag="late")
-        return tags
-
-    monkeypatch.setattr(store, "_committed", late)
-    store.merge(found.filter("id = 'pool-0'").withColumn("label", F.lit("ask")))
-    monkeypatch.undo()
+    merge = store.prepare(found.filter("id = 'pool-0'").withColumn("label", F.lit("ask")))
+    store.append(found.filter("id in ('pool-1', 'pool-3')").withColumn("label", F.lit("deny")), tag="late")
+    store.commit(merge)
     assert {r["id"]: r["label"] for r in store.latest().collect()} == {"pool-0": "ask", "pool-1": "deny", "pool-2": "allow", "pool-3": "deny"}
     store.compact()
     assert store.generation() == 2 and store.records().count() == 4
 
 
+def labelled(found, wanted, label):
+    return found.filter(F.col("id").isin(wanted)).withColumn("label", F.lit(label))
+
+
+def labels_in(store):
+    return {r["id"]: r["label"] for r in store.latest().collect()}
+
+
+def test_of_two_mergers_the_later_one_starts_again(spark, tmp_path):
+    """Both begin at one state, from two sessions' stores; no record of either is lost, and an append between them stays."""
+    spec = task()
+    found = records_for(spark, spec, pool(spark, spec, 6))
+    here, there = (LabelStore(spark, str(tmp_path / "store")) for _ in range(2))
+    here.append(found)
+    first, second = here.prepare(labelled(found, ["pool-0", "pool-1"], "ask")), there.prepare(labelled(found, ["pool-1", "pool-2"], "deny"))
+    here.commit(first)
+    here.append(labelled(found, ["pool-5"], "ask"))
+    with pytest.raises(Conflict):
+        there.commit(second)
+    between = there.prepare
+
+    def raced(records):
+        """While the second merger writes, another merge commits once more."""
+        merge = between(records)
+        if here.generation() == 1:
+            here.merge(labelled(found, ["pool-3"], "deny"))
+        return merge
+
+    there.prepare = raced
+    assert there.merge(labelled(found, ["pool-1", "pool-2"], "deny")) == 1
+    want = {r["id"]: r["label"] for r in found.collect()} | {"pool-0": "ask", "pool-1": "deny", "pool-2": "deny", "pool-3": "deny", "pool-5": "ask"}
+    assert labels_in(here) == labels_in(there) == want and here.generation() == 3
+
+
+def test_commits_are_made_once(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path / "log"))
+    assert log.newest() == (0, {})
+    assert log.put(1, {"a": 1}) and not log.put(1, {"a": 2})
+    assert log.newest() == (1, {"a": 1})
+    with ThreadPoolExecutor(8) as many:
+        won = list(many.map(lambda k: log.put(2, {"by": k}), range(8)))
+    assert sum(won) == 1 and log.newest() == (2, {"by": won.index(True)})
+    for number in range(3, 60):
+        assert log.put(number, {"n": number})
+    assert log.newest() == (59, {"n": 59}) and len(log.numbers()) <= 21
+    assert not [n for n in os.listdir(tmp_path / "log") if n.startswith(".") and not n.endswith(".crc")]
+
+
+def test_a_store_of_many_folded_appends_reads_few_files(spark, tmp_path):
+    """Replays are still known, by writer and number, when their appends are folded and deleted."""
+    spec = task()
+    found = records_for(spark, spec, pool(spark, spec, 4)).coalesce(1)
+    store = LabelStore(spark, str(tmp_path / "store"), buckets=4)
+    for number in range(12):
+        assert store.append(labelled(found, [f"pool-{number % 4}"], "ask"), writer="a", number=number)
+        if number % 4 == 3:
+            store.compact()
+    assert not store.append(found, writer="a", number=7) and store.append(labelled(found, ["pool-2"], "deny"), writer="b", number=0)
+    assert len(store.state()[1]["appends"]) == 1 and len(store.records().inputFiles()) <= 4 + 1
+    store.compact()
+    before = labels_in(store)
+    assert store.vacuum(older_than=0) > 12
+    assert labels_in(store) == before == {"pool-0": "ask", "pool-1": "ask", "pool-2": "deny", "pool-3": "ask"}
+    folders = os.listdir(tmp_path / "store" / "data")
+    assert len(folders) <= 4 and len(os.listdir(tmp_path / "store" / "log")) <= 2 * 21
+    assert not store.append(found, writer="a", number=11)
+
+
+def test_merge_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    spec = task()
+    found = records_for(spark, spec, pool(spark, spec, 60))
+    store = LabelStore(spark, str(tmp_path / "store"), buckets=32)
+    store.merge(found)
+    before, files = store.state()[1]["buckets"], set(store.records().inputFiles())
+    own = {r["id"]: r["b"] for r in found.select("id", bucket_of(F.col("id"), 32).alias("b")).collect()}
+    touched = {str(own["pool-7"]), str(own["pool-30"])}
+    merge = store.prepare(labelled(found, ["pool-7", "pool-30"], "ask"))
+    assert {str(b) for b in merge.buckets} == touched
+    store.commit(merge)
+    after = store.state()[1]["buckets"]
+    assert {b for b in after if after[b] != before.get(b)} == touched
+    assert len(set(store.records().inputFiles()) - files) == len(touched)
+    want = {r["id"]: r["label"] for r in found.collect()} | {"pool-7": "ask", "pool-30": "ask"}
+    assert labels_in(store) == want and store.records().count() == 60
+
+
+def test_joining_bucketed_rows_to_merged_labels_needs_no_shuffle(spark, tmp_path):
+    spec = task()
+    rows = pool(spark, spec, 60)
+    store = LabelStore(spark, str(tmp_path / "store"), buckets=8)
+    store.merge(records_for(spark, spec, rows))
+    placed = bucketed(rows, "id", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for _ in range(2):  # with one generation, and with one bucket rewritten
+            joined = records.join_labels(placed, store.latest(), spec)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "SortMergeJoin" in plan
+            assert sorted(joined.select("id", "outcome").collect()) == sorted(records.join_labels(rows, store.latest(), spec).select("id", "outcome").collect())
+            store.merge(labelled(records_for(spark, spec, rows), ["pool-1"], "ask"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def teacher_of(answers):
     """``answers(text)`` gives probabilities or an error text."""
 
