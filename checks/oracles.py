@@ -445,6 +445,25 @@ ORACLES["ngram_tokens"] = f"WITH {CONV_TOKENS} SELECT token, count(*) AS n FROM
 ORACLES["term_counts"] = f'WITH {CONV_UNIT} SELECT id, bucket, n AS "count" FROM terms'
 ORACLES["l2_normalize"] = f"WITH {CONV_UNIT} SELECT id, bucket, {r6('value', 'value')} FROM unit"
 ORACLES["hashed_ngrams"] = ORACLES["l2_normalize"]
+
+
+def three_layouts(where: str) -> str:
+    """Served predictions of a hashed, a logits and a hybrid student with weights from a rule."""
+    bias = "c / 10.0::DOUBLE"
+    logits = {
+        "by-words": f"list_transform(range(0, 10), lambda c: {bias})",
+        "by-logits": f"list_transform(range(0, 10), lambda c: 10.0::DOUBLE * x[c + 1] + {bias})",
+        "by-both": f"list_transform(range(0, 10), lambda c: 0.2::DOUBLE * (10.0::DOUBLE * x[c + 1] - 0.25::DOUBLE) / 2 + 6.0::DOUBLE * (x[c + 21] - 0.25::DOUBLE) / 2 + {bias})",
+    }
+    parts = [f"SELECT id, vec_id, {k} AS place, '{name}' AS classifier, {softmax(z)} AS p FROM vec_task" for k, (name, z) in enumerate(logits.items())]
+    return f"""
+WITH {VEC_ROWS}, scored AS ({" UNION ALL ".join(parts)}),
+judged AS (SELECT id, vec_id, place, classifier, list_max(p) AS top, 'c' || (list_position(p, list_max(p)) - 1) AS argmax FROM scored)
+SELECT id, classifier, CASE WHEN top < 0.2 THEN 'c0' ELSE argmax END AS label, argmax, round(top * 10000) / 10000 AS confidence FROM judged WHERE {where}"""
+
+
+ORACLES["score_many_dense"] = three_layouts("true")
+ORACLES["score_named_dense"] = three_layouts("vec_id % 3 = place")
 ORACLES["dense_features"] = f"""
 WITH {VEC_ROWS}, dense AS (SELECT content_hash, list_concat(list_transform(x[1:10], lambda v: v * 10.0::DOUBLE), x) AS d FROM vec_task),
 cells AS (SELECT content_hash, unnest(d) AS v, generate_subscripts(d, 1) - 1 AS dimension FROM dense)

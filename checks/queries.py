@@ -1054,6 +1054,43 @@ def score_many(spark, folder):
     return served.select("id", "classifier", "label", "confidence")
 
 
+def dense_student(name: str, scheme: str, weights: np.ndarray, dense: int, mean: float, sd: float) -> models.Student:
+    """A student of the vector task with weights from a rule."""
+    spec = dataclasses.replace(t.VECTORS, name=name, student=dataclasses.replace(t.VECTORS.student, features=scheme))
+    found = features.FeatureDescriptor("hashed", weights.shape[1]) if scheme == "hashed" else features.FeatureDescriptor(
+        scheme, weights.shape[1], (mean,) * dense, (sd,) * dense, spec.question_hash, "vectors-1"
+    )
+    return models.Student(spec, found, student.LinearModel(weights, np.arange(10) / 10.0), {"teacher": "rule"})
+
+
+def three_layouts() -> dict[str, models.Student]:
+    """Hashed words that do not count, the option logits, and logits with pooled values before hashed words."""
+    c = np.arange(10)
+    mixed = np.zeros((10, 74 + 32))
+    mixed[c, c], mixed[c, 30 + c] = 0.2, 6.0
+    return score.registry([
+        dense_student("by-words", "hashed", np.zeros((10, 32)), 0, 0.0, 1.0),
+        dense_student("by-logits", "logits", np.eye(10), 10, 0.0, 1.0),
+        dense_student("by-both", "hybrid", mixed, 74, 0.25, 2.0),
+    ])
+
+
+@query
+def score_many_dense(spark, folder):
+    """Students of three layouts over one looked-up representation."""
+    served = score.score_many(t.vector_rows(spark, folder), three_layouts(), representations=t.vector_representations(spark, folder), fingerprint="vectors-1")
+    return served.select("id", "classifier", "label", "argmax", "confidence")
+
+
+@query
+def score_named_dense(spark, folder):
+    """Each vector names the student that scores it."""
+    names = F.array(*[F.lit(n) for n in ("by-words", "by-logits", "by-both")])
+    rows = t.vector_rows(spark, folder).withColumn("wanted", F.get(names, (F.col("seq") % 3).cast("int")))
+    served = score.score_many(rows.select("id", "input", "wanted"), three_layouts(), "wanted", representations=t.vector_representations(spark, folder), fingerprint="vectors-1")
+    return served.select("id", "classifier", "label", "argmax", "confidence")
+
+
 @query
 def score_named(spark, folder):
     """Each row names the student that scores it."""

@@ -121,16 +121,23 @@ def representations_from(contents: DataFrame, scorer, fingerprint: str) -> DataF
     return contents.select("content_hash", "input").mapInPandas(run, REPRESENTATION)
 
 
-def dense_features(representations: DataFrame, spec: TaskSpec) -> DataFrame:
-    """(content_hash, dense): label-ordered logits, then the pooled vector.
+def dense_vector(spec: TaskSpec) -> Column:
+    """Of columns content_hash, logits, options and pooled: label-ordered logits, then the pooled vector.
 
-    A row whose options or values do not fit the task stops the job.
+    A row whose options or values do not fit the task stops the job; one without
+    a representation has no vector.
     """
     ordered = label_order(F.col("logits"), F.col("options"), spec)
     pooled_ok = F.forall("pooled", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     problem = F.raise_error(F.concat(F.lit("representation does not fit the task: content "), F.col("content_hash")))
-    dense = F.when(ordered.isNotNull() & pooled_ok, F.concat(ordered, F.col("pooled"))).otherwise(problem.cast("array<double>"))
-    return representations.select("content_hash", dense.alias("dense"))
+    fits = F.when(ordered.isNotNull() & pooled_ok, F.concat(ordered, F.col("pooled"))).otherwise(problem.cast("array<double>"))
+    return F.when(F.col("logits").isNotNull() | F.col("options").isNotNull() | F.col("pooled").isNotNull(), fits)
+
+
+def dense_features(representations: DataFrame, spec: TaskSpec) -> DataFrame:
+    """(content_hash, dense), as ``dense_vector``; here every row must fit."""
+    missing = F.raise_error(F.concat(F.lit("representation does not fit the task: content "), F.col("content_hash"))).cast("array<double>")
+    return representations.select("content_hash", F.coalesce(dense_vector(spec), missing).alias("dense"))
 
 
 def attach_features(rows: DataFrame, cache: DataFrame, distinct: bool = False) -> DataFrame:

@@ -409,3 +409,47 @@ def test_latency_positions_with_ties(spark):
             assert found[group][column] == values[min(len(values) - 1, int(len(values) * q))]
         assert (found[group]["n"], found[group]["min"], found[group]["max"]) == (len(values), values[0], values[-1])
     assert set(found) == {"hot", "one", "two"}
+
+
+@pytest.mark.parametrize("small", [2, 40, 1 << 16])
+def test_order_statistics_of_hostile_values(spark, small):
+    """Heavy tails, clusters one bit apart, signed zeros, infinities, NaN, and a null group; few rows may be left at the end."""
+    import math
+    import struct
+
+    from pupilage.operators.latency import latency_summary
+
+    near = [struct.unpack("<d", struct.pack("<q", 4607182418800017408 + k))[0] for k in range(300)]
+    groups = {
+        "near": near * 2 + [1e300, -1e300],
+        "tail": [math.copysign(10.0 ** (k % 600 - 300), (-1) ** k) for k in range(700)],
+        "zeros": [0.0, -0.0] * 50 + [5e-324, -5e-324],
+        "ends": [math.inf, -math.inf, math.nan, 1.0, math.nan],
+        "same": [7.5] * 400,
+        None: [3.0, 1.0, 2.0],
+    }
+    data = [(g, v) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    qs = (0.0, 0.25, 0.5, 0.95, 1.0)
+    found = {r["g"]: r for r in latency_summary(df, "g", "v", qs, small).collect()}
+    assert set(found) == set(groups)
+    for group, values in groups.items():
+        ordered = sorted((v for v in values if v == v)) + [v for v in values if v != v]
+        for q in qs:
+            want, got = ordered[min(len(ordered) - 1, int(len(ordered) * q))], found[group][f"p{round(q * 100)}"]
+            assert want == got or (want != want and got != got)
+
+
+def test_order_statistics_of_other_types(spark):
+    import datetime
+    from decimal import Decimal
+
+    from pupilage.operators.latency import latency_summary
+
+    data = [("a", k * 7919 % 101 - 50, Decimal(k * 7919 % 101 - 50) / 100, datetime.date(2020, 1, 1) + datetime.timedelta(k * 7919 % 101)) for k in range(101)]
+    df = spark.createDataFrame(data, "g string, i bigint, d decimal(10,2), t date")
+    for column, position in (("i", 1), ("d", 2), ("t", 3)):
+        row = latency_summary(df, "g", column, (0.5,), 4).first()
+        assert row["p50"] == sorted(r[position] for r in data)[50]
+    with pytest.raises(DataError, match="no 64-bit order"):
+        latency_summary(df, "i", "g")

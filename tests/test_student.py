@@ -210,6 +210,33 @@ def test_candidate_ties_go_to_the_stronger_regulariser(spark):
     assert training.best_candidate(df).first()["l2"] == 1.0
 
 
+def test_students_of_three_layouts_share_one_lookup(spark):
+    """Together they answer as each does alone; the scoring plan has no join, as the representation was looked up before."""
+    rows, trained, cache = None, [], None
+    for scheme in ("hashed", "logits", "hybrid"):
+        spec = task(name=scheme, student=StudentSettings(hash_dimensions=64, l2=0.001, epochs=10, features=scheme))
+        if rows is None:
+            rows = verb_rows(spark, spec)
+            representations = biased_cache(spark, rows, spec)
+        cache = features.dense_features(representations, spec)
+        trained.append(training.train(rows, records_for(spark, spec, rows), spec, cache, "fake-1", with_fingerprints=False)[0])
+    served = score.score_many(rows, score.registry(trained), representations=representations, fingerprint="fake-1")
+    plan = served._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    together = {(r["classifier"], r["id"]): (r["label"], r["confidence"]) for r in served.collect()}
+    for one in trained:
+        alone = score.predict(rows, one, None if one.features.scheme == "hashed" else cache, "fake-1").collect()
+        assert {(one.spec.name, r["id"]): (r["label"], r["confidence"]) for r in alone}.items() <= together.items()
+    assert len(together) == 3 * rows.count()
+    named = rows.withColumn("wanted", F.when(F.col("seq") % 2 == 0, "hybrid").otherwise("hashed"))
+    for r in score.score_many(named, score.registry(trained), "wanted", representations=representations, fingerprint="fake-1").collect():
+        assert together[r["classifier"], r["id"]] == (r["label"], r["confidence"])
+    with pytest.raises(ModelError, match="need representations"):
+        score.score_many(rows, score.registry(trained))
+    with pytest.raises(ModelError):
+        score.score_many(rows, score.registry(trained), representations=representations, fingerprint="fake-2")
+
+
 def test_registry(spark):
     spec = task()
     model = student.LinearModel(np.ones((3, 1024)), np.zeros(3))
