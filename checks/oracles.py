@@ -447,7 +447,7 @@ ORACLES["l2_normalize"] = f"WITH {CONV_UNIT} SELECT id, bucket, {r6('value', 'va
 ORACLES["hashed_ngrams"] = ORACLES["l2_normalize"]
 
 
-def three_layouts(where: str) -> str:
+def three_layouts(where: str, more: str = "classifier") -> str:
     """Served predictions of a hashed, a logits and a hybrid student with weights from a rule."""
     bias = "c / 10.0::DOUBLE"
     logits = {
@@ -459,11 +459,12 @@ def three_layouts(where: str) -> str:
     return f"""
 WITH {VEC_ROWS}, scored AS ({" UNION ALL ".join(parts)}),
 judged AS (SELECT id, vec_id, place, classifier, list_max(p) AS top, 'c' || (list_position(p, list_max(p)) - 1) AS argmax FROM scored)
-SELECT id, classifier, CASE WHEN top < 0.2 THEN 'c0' ELSE argmax END AS label, argmax, round(top * 10000) / 10000 AS confidence FROM judged WHERE {where}"""
+SELECT id, {more}, CASE WHEN top < 0.2 THEN 'c0' ELSE argmax END AS label, argmax, round(top * 10000) / 10000 AS confidence FROM judged WHERE {where}"""
 
 
 ORACLES["score_many_dense"] = three_layouts("true")
 ORACLES["score_named_dense"] = three_layouts("vec_id % 3 = place")
+ORACLES["score_stream_dense"] = three_layouts("classifier = 'by-both'", f"CASE WHEN {chance('early')} < 0.5 THEN 0 ELSE 1 END::BIGINT AS batch")
 ORACLES["dense_features"] = f"""
 WITH {VEC_ROWS}, dense AS (SELECT content_hash, list_concat(list_transform(x[1:10], lambda v: v * 10.0::DOUBLE), x) AS d FROM vec_task),
 cells AS (SELECT content_hash, unnest(d) AS v, generate_subscripts(d, 1) - 1 AS dimension FROM dense)
@@ -667,6 +668,10 @@ ORACLES["score_stream"] = ORACLES["write_predictions"]
 ORACLES["quarantine_stream"] = f"WITH {CONV_ROWS} SELECT id, 'text is required' AS violations FROM conv_task WHERE role = 'system'"
 ORACLES["upsert_stream"] = ORACLES["latest_per_id"]
 ORACLES["pending_stream"] = ORACLES["pending"]
+ORACLES["pending_stream_fresh"] = f"""
+WITH {DOC_RECORDS}
+SELECT a.id, (a.seq % 2)::BIGINT AS half FROM doc_task a LEFT JOIN records r ON a.id = r.id AND (a.seq % 2 = 1 OR {chance('early', 'a.id')} < 0.5)
+WHERE r.id IS NULL OR r.status = 'error' OR r.content_hash <> a.content_hash"""
 ORACLES["label_with_teacher"] = f"""
 WITH {CONV_ROWS}, said AS (SELECT id, (length(text) % 97) / 97.0::DOUBLE AS s FROM conv_task),
 spread AS (SELECT id, [s, (1.0::DOUBLE - s) / 2, (1.0::DOUBLE - s) / 2] AS p FROM said),

@@ -25,6 +25,7 @@ from pupilage.sources import records as record_source
 from pupilage.sources import reports
 from pupilage.sources.storage import fresh_path
 from pupilage.sources.tables import table
+from pupilage.sources.versions import VersionedTable
 from pupilage.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1184,3 +1185,39 @@ def pending_stream(spark, folder):
     incoming = streamed(spark, t.hashed_documents(spark, folder).select("id", "content_hash"), "rows")
     waiting = flows.pending_stream(incoming, t.document_records(spark, folder), t.DOCUMENTS)
     return drained(waiting, spark, "waiting").select("id")
+
+
+@query
+def pending_stream_fresh(spark, folder):
+    """Half of the rows come, then half of the labels land, then the other rows come: each half meets the labels of its time."""
+    rows = t.hashed_documents(spark, folder).select("id", "content_hash", (F.col("seq") % 2).alias("half"))
+    said = t.document_records(spark, folder)
+    store = record_source.LabelStore(spark, fresh_path(spark, "landing"))
+    store.append(said.filter(t.chance("early", F.col("id")) < 0.5))
+    incoming, out, checkpoint = (fresh_path(spark, name) for name in ("arriving", "still-pending", "pending-checkpoint"))
+    for half in (0, 1):
+        rows.filter(F.col("half") == half).drop("half").write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema("id string, content_hash string").parquet(incoming)
+        flows.pending_fresh(stream, store, t.DOCUMENTS, out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+        store.append(said.filter(t.chance("early", F.col("id")) >= 0.5), tag="late")
+    return spark.read.parquet(out).select("id", F.col("batch").cast("bigint").alias("half"))
+
+
+@query
+def score_stream_dense(spark, folder):
+    """Representations of half of the vectors are there at first: the other half waits and is scored when it is sent again."""
+    rows = t.vector_rows(spark, folder).select("id", F.to_json("input").alias("input"))
+    said = t.vector_representations(spark, folder).select("id", "content_hash", "logits", "options", "pooled", "source_fingerprint")
+    known = VersionedTable(spark, fresh_path(spark, "represented"), features.REPRESENTATION)
+    early = t.chance("early", F.col("id")) < 0.5
+    known.append(said.filter(early).drop("id"))
+    requests, out, checkpoint = (fresh_path(spark, name) for name in ("requests", "scored-stream", "scored-checkpoint"))
+    student_of = three_layouts()["by-both"]
+    rows.write.parquet(requests)
+    for _ in range(2):
+        stream = spark.readStream.schema("id string, input string").parquet(requests)
+        flows.score_fresh(stream, student_of, known, out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+        known.append(said.filter(~early).drop("id"), tag="late")
+        waiting = spark.read.schema("id string, content_hash string").parquet(f"{out}/waiting/{flows.batch_folder('', 0)[1:]}")
+        rows.join(waiting.select("id"), "id", "left_semi").write.mode("append").parquet(requests)
+    return spark.read.parquet(f"{out}/scored").select("id", "label", "argmax", "confidence", F.col("batch").cast("bigint").alias("batch"))

@@ -67,10 +67,13 @@ class LabelStore:
 
     # ---- reading ---------------------------------------------------------------
 
-    def state(self) -> tuple[int, dict]:
-        version, state = self.log.newest()
+    def state(self, version: int | None = None) -> tuple[int, dict]:
+        """The newest commit, or the one of a version; if that one is cleared, the newest."""
+        found, state = (0, {}) if version is None else self.log.at(version)
+        if version != 0 and not state:
+            found, state = self.log.newest()
         blank = {"base": 0, "merges": 0, "run": 0, "width": self.buckets, "buckets": {}, "generations": {}, "appends": [], "tags": [], "writers": {}}
-        return version, state or blank
+        return found, state or blank
 
     def generation(self) -> int:
         """How many merges the store has seen."""
@@ -107,13 +110,13 @@ class LabelStore:
         """Every stored record, with the order of its append in ``run``."""
         return self._of(self.state()[1])
 
-    def latest(self) -> DataFrame:
-        """One record per id: the last of the last run.
+    def latest(self, version: int | None = None) -> DataFrame:
+        """One record per id: the last of the last run, now or as of a commit that is kept.
 
         With no append since the last merge these are the merged records as they
         lie, bucketed by id.
         """
-        _, state = self.state()
+        _, state = self.state(version)
         if not state["appends"]:
             return self._of(state).drop("run")
         return latest_per_id(self._of(state), order=F.struct("run", "seq")).drop("run")

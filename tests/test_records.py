@@ -14,6 +14,7 @@ from pupilage.sources.dataset import read_dataset
 from pupilage.sources.commits import CommitLog
 from pupilage.sources.records import Conflict, LabelStore, bucket_of, read_labels, read_ledger, read_ledger_lines, write_labels
 from pupilage.sources.storage import bucketed
+from pupilage.sources.versions import VersionedTable, pinned
 from tests.fixtures import counts, ids, records_for, rows_of, task
 
 
@@ -453,3 +454,32 @@ def test_order_statistics_of_other_types(spark):
         assert row["p50"] == sorted(r[position] for r in data)[50]
     with pytest.raises(DataError, match="no 64-bit order"):
         latency_summary(df, "i", "g")
+
+
+def test_a_label_that_lands_between_two_batches_is_seen_by_the_second(spark, tmp_path):
+    from pupilage.streaming import flows
+
+    spec = task()
+    rows = pool(spark, spec, 6)
+    store, out, checkpoint = LabelStore(spark, str(tmp_path / "store")), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    store.append(records_for(spark, spec, rows).filter("id = 'pool-0'"))
+    incoming = str(tmp_path / "incoming")
+    for step in range(2):
+        rows.filter(F.col("seq") % 2 == step).select("id", "content_hash").write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema("id string, content_hash string").parquet(incoming)
+        flows.pending_fresh(stream, store, spec, out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+        store.append(records_for(spark, spec, rows).filter("id in ('pool-1', 'pool-2', 'pool-3')"))
+    found = {(r["batch"], r["id"]) for r in spark.read.parquet(out).collect()}
+    assert found == {(0, "pool-2"), (0, "pool-4"), (1, "pool-5")}
+    # A replay of the first batch reads what it read then, though labels have come since.
+    version = pinned(CommitLog(spark, f"{checkpoint}-pins"), 0, store.state()[0])
+    assert version == 1 and ids(records.pending(rows.filter("seq % 2 = 0"), store.latest(version), spec)) == {"pool-2", "pool-4"}
+
+
+def test_versions_of_a_growing_table(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "table"), "k long, v string")
+    assert table.read().isEmpty()
+    assert table.append(spark.createDataFrame([(1, "a")], "k long, v string"), "one") and not table.append(spark.createDataFrame([(9, "z")], "k long, v string"), "one")
+    table.append(spark.createDataFrame([(1, "b"), (2, "c")], "k long, v string"))
+    assert sorted(map(tuple, table.read().collect())) == [(1, "a", 1), (1, "b", 2), (2, "c", 2)]
+    assert [tuple(r) for r in table.read(1).collect()] == [(1, "a", 1)]
