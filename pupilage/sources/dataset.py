@@ -14,39 +14,55 @@ from pupilage.operators.validation import (
     undeclared_keys,
     validate_rows,
 )
+from pupilage.sources.lines import declared_files, opened, placed_lines
 from pupilage.sources.storage import materialize
 
 ROW_KEYS = ["id", "input", "group", "gold"]
 
 
-def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, line) of all lines: ``seq`` counts files by age, then name, then position.
+def ordered_lines(spark: SparkSession, path: str | list[str], max_line_bytes: int | None = None) -> DataFrame:
+    """(seq, line, bytes) of all lines; ``seq`` counts files as declared, then position.
 
-    The engine packs files into tasks by size, so its own row numbers do not
-    follow the files. Lines are numbered inside their file part, and the parts
-    (one small row each) are summed in the order of their files.
+    A list of paths declares the order of its files; the files of a folder come by
+    age, then name. The texts are read once, into a table of lines with the number
+    of their part; the parts (one small row each) are summed in their order. Of a
+    line above ``max_line_bytes`` only the beginning is kept.
     """
-    part = ["_age", "_file", "_block"]
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_modification_time").alias("_age"),
+    paths = [path] if isinstance(path, str) else list(path)
+    files = declared_files(spark, paths)
+    if not files:
+        return spark.createDataFrame([], "seq bigint, line string, bytes bigint")
+    if not opened(files):
+        return _engine_lines(spark, [uri for uri, _ in files])
+    lines = materialize(placed_lines(spark, files, max_line_bytes).select("part", "at", "bytes", "line"), "lines")
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    bases = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("_base"))
+    return lines.join(bases, "part").select((F.col("at") + F.col("_base")).alias("seq"), "line", "bytes")
+
+
+def _engine_lines(spark: SparkSession, uris: list[str]) -> DataFrame:
+    """The same by the engine's own text reader, for packed files and stores that only it opens; it reads lines whole."""
+    part = ["_order", "_block"]
+    order = F.array_position(F.array(*[F.lit(uri) for uri in uris]), F.col("_file"))
+    lines = spark.read.text(uris).select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
         F.col("value").alias("line"),
-    )
+    ).withColumn("_order", order)
     parts = lines.groupBy(*part).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
     before = F.sum("_lines").over(W.orderBy(*part).rowsBetween(W.unboundedPreceding, -1))
     bases = parts.select(*part, (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_base"))
-    return lines.join(bases, part).select((F.col("_at") + F.col("_base")).alias("seq"), "line")
+    return lines.join(bases, part).select((F.col("_at") + F.col("_base")).alias("seq"), "line", F.octet_length("line").cast("bigint").alias("bytes"))
 
 
-def read_lines(spark: SparkSession, path: str, max_line_bytes: int | None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], max_line_bytes: int | None) -> DataFrame:
     """(seq, line, violations) of the non-blank lines, in the order of ``ordered_lines``."""
-    full = ordered_lines(spark, path).filter(~F.col("line").rlike(r"^[ \t\r]*$"))
+    full = ordered_lines(spark, path, max_line_bytes).filter(~F.col("line").rlike(r"^[ \t\r]*$"))
     if max_line_bytes is None:
-        return full.withColumn("violations", F.array().cast("array<string>"))
-    too_long = F.when(F.octet_length("line") > max_line_bytes, F.lit(f"line exceeds {max_line_bytes} bytes"))
-    return full.withColumn("violations", F.array_compact(F.array(too_long)))
+        return full.withColumn("violations", F.array().cast("array<string>")).drop("bytes")
+    too_long = F.when(F.col("bytes") > max_line_bytes, F.lit(f"line exceeds {max_line_bytes} bytes"))
+    return full.withColumn("violations", F.array_compact(F.array(too_long))).drop("bytes")
 
 
 def parse_rows(lines: DataFrame, spec: TaskSpec) -> DataFrame:
@@ -76,7 +92,7 @@ def parse_rows(lines: DataFrame, spec: TaskSpec) -> DataFrame:
             "violations",
             F.array_compact(
                 F.array(
-                    F.when(F.col("_doc").isNull(), F.lit("malformed JSON")),
+                    F.when(F.col("_doc").isNull() & (F.size("violations") == 0), F.lit("malformed JSON")),
                     F.when(F.size(unknown) > 0, F.concat(F.lit("unknown field(s) "), F.array_join(unknown, ", "))),
                     *[wrong_type(k) for k in ("id", "group", "gold")],
                 )
@@ -90,7 +106,7 @@ def parse_rows(lines: DataFrame, spec: TaskSpec) -> DataFrame:
     return checked.withColumn("violations", F.concat("_found", "violations")).drop("_found")
 
 
-def read_dataset(spark: SparkSession, path: str, spec: TaskSpec, on_error: str = "fail") -> DataFrame:
+def read_dataset(spark: SparkSession, path: str | list[str], spec: TaskSpec, on_error: str = "fail") -> DataFrame:
     """Validated rows (seq, id, input, group, gold).
 
     The lines are parsed once into a columnar table in the shared folder; the

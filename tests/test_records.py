@@ -1,3 +1,4 @@
+import io
 import json
 import os
 from concurrent.futures import ThreadPoolExecutor
@@ -10,7 +11,8 @@ from pupilage.operators import ledger, records, runs, split
 from pupilage.operators.identity import with_content_hash
 from pupilage.operators.teacher import Teacher, label
 from pupilage.plans import importing
-from pupilage.sources.dataset import read_dataset
+from pupilage.sources import lines
+from pupilage.sources.dataset import ordered_lines, read_dataset
 from pupilage.sources.commits import CommitLog
 from pupilage.sources.records import Conflict, LabelStore, bucket_of, read_labels, read_ledger, read_ledger_lines, write_labels
 from pupilage.sources.storage import bucketed
@@ -483,3 +485,63 @@ def test_versions_of_a_growing_table(spark, tmp_path):
     table.append(spark.createDataFrame([(1, "b"), (2, "c")], "k long, v string"))
     assert sorted(map(tuple, table.read().collect())) == [(1, "a", 1), (1, "b", 2), (2, "c", 2)]
     assert [tuple(r) for r in table.read(1).collect()] == [(1, "a", 1)]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1 << 20])
+def test_byte_ranges_have_every_line_once(monkeypatch, chunk):
+    monkeypatch.setattr(lines, "CHUNK", chunk)
+    text = "a\n\nlong line é漢\r\n\r\nb\n\n".encode() + b"x" * 20 + b"\r\nend"
+    want, at = [], 0
+    for part in text.split(b"\n"):
+        if at < len(text):
+            want.append((at, len(part.removesuffix(b"\r")), part.removesuffix(b"\r")))
+        at += len(part) + 1
+    for size in range(1, len(text) + 2):
+        ranges = [(k, min(k + size, len(text))) for k in range(0, len(text), size)]
+        assert [x for a, b in ranges for x in lines.lines_between(io.BytesIO(text), a, b, None)] == want
+        cut = [x for a, b in ranges for x in lines.lines_between(io.BytesIO(text), a, b, 5)]
+        assert [x[:2] for x in cut] == [x[:2] for x in want]
+        assert all(x[2] == y[2] if y[1] <= 5 else x[2] == y[2][:6] for x, y in zip(cut, want))
+
+
+def test_declared_files_keep_their_order_when_they_are_touched(spark, tmp_path):
+    names = ["late.jsonl", "early.jsonl", "middle.jsonl"]
+    paths = [write(tmp_path, n, [line(f"pool-{k}", error=n) for k in range(50)]) for n in names]
+    for k, path in enumerate(paths):
+        os.utime(path, (100 - k, 100 - k))
+    assert {r["error"] for r in read_ledger(spark, paths, "review", 1).collect()} == {"middle.jsonl"}
+    assert {r["error"] for r in read_ledger(spark, paths[::-1], "review", 1).collect()} == {"late.jsonl"}
+
+
+def test_one_scan_of_the_text_and_packed_files(spark, tmp_path):
+    import gzip
+
+    path = write(tmp_path, "plain.jsonl", [line(f"pool-{k}") for k in range(30)])
+    plan = ordered_lines(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan.lower().replace("context", "") and "BatchScan" not in plan
+    with gzip.open(tmp_path / "packed.jsonl.gz", "wt") as out:
+        out.write(open(path).read())
+    packed = [tuple(r) for r in ordered_lines(spark, str(tmp_path / "packed.jsonl.gz")).orderBy("seq").collect()]
+    assert packed == [tuple(r) for r in ordered_lines(spark, path).orderBy("seq").collect()]
+
+
+def test_a_very_long_line_is_not_held(tmp_path):
+    """One line of a gigabyte: its length is known, a kilobyte of it is kept, in a process that may not take 400 MB."""
+    import subprocess
+    import sys
+
+    path = tmp_path / "huge.jsonl"
+    with open(path, "wb") as out:
+        out.write(b"first\n")
+        out.truncate(1 << 30)
+        out.seek(1 << 30)
+        out.write(b"\nlast\n")
+    code = (
+        "import resource, sys; from pupilage.sources.lines import lines_between\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "found = [(o, n, len(t)) for a in range(0, (1 << 30) + 7, 1 << 28) for o, n, t in lines_between(open(sys.argv[1], 'rb'), a, min(a + (1 << 28), (1 << 30) + 6), 1000)]\n"
+        "print(found, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)"
+    )
+    done = subprocess.run([sys.executable, "-c", code, str(path)], capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": os.getcwd()})
+    found, grown = done.stdout.rsplit(" ", 1)
+    assert found == str([(0, 5, 5), (6, (1 << 30) - 6, 1001), ((1 << 30) + 1, 4, 4)]) and int(grown) < 100_000
