@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from checks import tasks as t
 from pupilage.config import TaskSpec
+from pupilage.sources.reports import SCOPES
 
 ORACLES: dict[str, str] = {}
 
@@ -677,3 +678,28 @@ WITH {CONV_ROWS}, said AS (SELECT id, (length(text) % 97) / 97.0::DOUBLE AS s FR
 spread AS (SELECT id, [s, (1.0::DOUBLE - s) / 2, (1.0::DOUBLE - s) / 2] AS p FROM said),
 decided AS (SELECT id, {gated(t.CONVERSATIONS)} FROM spread)
 SELECT id, g_status AS status, g_best AS teacher_label, g_label AS label, {r6('g_top', 'top')}, {r6('g_margin', 'margin')} FROM decided"""
+
+# ---- selection and the whole report ------------------------------------------------------
+
+MODELS = "[" + ", ".join(f"'{r}/{m}'" for r, m in SCOPES) + "]"
+ORACLES["full_report"] = f"""
+WITH {DOC_SPLIT},
+scored AS (
+  SELECT k.split, k.idx AS ref, list_position({names(t.DOCUMENTS)}, r.teacher_label) AS raw, list_position({names(t.DOCUMENTS)}, r.label) AS gated
+  FROM kept k LEFT JOIN records r ON k.id = r.id AND k.content_hash = r.content_hash WHERE k.split <> 'train'),
+pairs AS (
+  SELECT position, ref FROM scored, (SELECT unnest([0, 1, 2]) AS position) WHERE split = 'holdout'
+  UNION ALL SELECT position, ref FROM scored, (SELECT unnest([3, 4, 8]) AS position) WHERE split = 'gold'
+  UNION ALL SELECT 5, ref FROM scored WHERE split = 'gold' AND raw IS NOT NULL
+  UNION ALL SELECT 6, ref FROM scored WHERE split = 'gold' AND gated IS NOT NULL),
+counted AS (SELECT {MODELS}[position + 1] AS model, ref FROM pairs),
+split_counters AS ({split_report("doc_task", DOC_ROWS, t.DOCUMENTS)})
+SELECT 'metrics' AS section, model, 'n' AS name, count(*)::DOUBLE AS value, NULL::VARCHAR AS text FROM counted GROUP BY model
+UNION ALL SELECT 'confusion', model, 'all', count(*)::DOUBLE, NULL FROM counted GROUP BY model
+UNION ALL SELECT 'labels', model, {names(t.DOCUMENTS)}[i + 1] || '.support', count(*) FILTER (ref = i)::DOUBLE, NULL FROM counted, (SELECT unnest(range(0, 3)) AS i) GROUP BY model, i
+UNION ALL SELECT 'split', NULL, name, value::DOUBLE, NULL FROM (UNPIVOT split_counters ON COLUMNS(*) INTO NAME name VALUE value)
+UNION ALL SELECT 'summary', NULL, 'teacher', NULL, string_agg(DISTINCT teacher, ',' ORDER BY teacher) FROM kept WHERE split <> 'gold'"""
+ORACLES["selection_folds"] = f"""
+WITH {DOC_SPLIT},
+placed AS (SELECT least(4, floor({u(f"'cv' || chr(0) || '{t.DOCUMENTS.dataset.split_seed}' || chr(0) || split_key")} * 5))::BIGINT AS fold FROM kept WHERE split = 'train')
+SELECT l2, fold, count(*) AS tested, true AS chosen, true AS fits FROM placed, (SELECT unnest([0.0001, 0.01, 1.0]::DOUBLE[]) AS l2) GROUP BY l2, fold"""

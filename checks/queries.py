@@ -1023,6 +1023,34 @@ def train_evaluate(spark, folder):
     return evaluation.report
 
 
+@query
+def full_report(spark, folder):
+    """Train, evaluate, write the whole report and read it back: every count in it that does not depend on the weights, and the sum of each model's confusion cells."""
+    spec = dataclasses.replace(t.DOCUMENTS, student=dataclasses.replace(t.DOCUMENTS.student, epochs=20))
+    _, evaluation = training.train(t.document_rows(spark, folder), t.document_records(spark, folder), spec, with_fingerprints=False)
+    path = fresh_path(spark, "full-report")
+    document = training.full_report(evaluation, spec)
+    reports.write_report_document(document, path)
+    read = spark.read.schema(document.schema).json(path)
+    cells = read.filter("section = 'confusion'").groupBy("section", "model").agg(F.lit("all").alias("name"), F.sum("value").alias("value"), F.lit(None).cast("string").alias("text"))
+    known = (F.col("section") == "split") | (F.col("name") == "n") | F.col("name").endswith(".support") | (F.col("name") == "teacher")
+    return read.filter(known & (F.col("section") != "confusion")).unionByName(cells)
+
+
+@query
+def selection_folds(spark, folder):
+    """Cross-validation of the document task: what each fit is tested on, and whether the best candidate (ties: the stronger) was chosen."""
+    spec = dataclasses.replace(t.DOCUMENTS, student=dataclasses.replace(t.DOCUMENTS.student, l2_grid=(0.0001, 0.01, 1.0), epochs=20))
+    rows = t.document_rows(spark, folder)
+    kept = training.split_rows(rows, t.document_records(spark, folder), spec).kept
+    descriptor = features.FeatureDescriptor("hashed", spec.student.hash_dimensions)
+    selection = training.select_l2(training.featured_rows(kept.filter(F.col("split") == "train"), rows, descriptor, spec, None), spec, descriptor.dimensions)
+    found = spark.createDataFrame([(f.l2, f.fold, f.hits, f.tested) for f in selection.tests], "l2 double, fold long, hits long, tested long")
+    pooled = found.groupBy("l2").agg((F.sum("hits") / F.sum("tested")).alias("accuracy"))
+    best = pooled.agg(F.max(F.struct("accuracy", "l2"))["l2"].alias("best"))
+    return found.crossJoin(F.broadcast(best)).select("l2", "fold", "tested", (F.col("best") == selection.l2).alias("chosen"), (F.col("hits") <= F.col("tested")).alias("fits"))
+
+
 @query
 def save_load_evaluate(spark, folder):
     """Train dense, store, load, evaluate again, write and read the report."""
