@@ -115,8 +115,8 @@ def read_dataset(spark: SparkSession, path: str | list[str], spec: TaskSpec, on_
     parsed = parse_rows(read_lines(spark, path, spec.dataset.max_line_bytes), spec)
     rows = materialize(parsed, "dataset")
     bound = spec.dataset.max_rows
-    if bound is not None and rows.count() > bound:
-        raise DataError(f"more than {bound} rows; raise the configured bound deliberately")
+    if bound is not None and (found := rows.count()) > bound:
+        raise DataError(f"{path}: {found} rows, max_rows is {bound}")
     return settle(mark_repeated(rows), on_error, "dataset")
 
 

@@ -39,9 +39,9 @@ class Student:
         self.model.check()
         self.features.check(self.spec)
         if self.features.scheme != self.spec.student.features or self.model.classes != len(self.spec.labels):
-            raise ModelError("model does not fit the task's labels or feature scheme")
+            raise ModelError(f"{self.spec.name}: {self.model.classes} classes of {self.features.scheme} features, the task has {len(self.spec.labels)} labels and {self.spec.student.features} features")
         if self.model.dimensions != self.features.dimensions:
-            raise ModelError("model does not fit its features")
+            raise ModelError(f"{self.spec.name}: weights for {self.model.dimensions} dimensions, features of {self.features.dimensions}")
 
 
 def weight_table(model: LinearModel) -> pa.Table:
@@ -60,12 +60,12 @@ def weight_table(model: LinearModel) -> pa.Table:
 def model_from_table(table: pa.Table) -> LinearModel:
     klass, index, weight = (table.column(c).to_numpy() for c in ("class", "index", "weight"))
     if not len(klass) or klass.min() < 0 or index.min() < -1:
-        raise ModelError("model shape does not match its weights")
+        raise ModelError(f"weight table of {len(klass)} cells with a class or index below its range")
     weights = np.full((klass.max() + 1, max(index.max() + 1, 1)), np.nan)
     bias = np.full(klass.max() + 1, np.nan)
     cell = index >= 0
     if len(klass) != weights.size + bias.size:
-        raise ModelError("model shape does not match its weights")
+        raise ModelError(f"weight table of {len(klass)} cells, {weights.shape[0]} classes of {weights.shape[1]} dimensions have {weights.size + bias.size}")
     weights[klass[cell], index[cell]] = weight[cell]
     bias[klass[~cell]] = weight[~cell]
     return LinearModel(weights, bias)
@@ -100,16 +100,16 @@ def load_model(spark: SparkSession, path: str) -> Student:
     """Read, then verify the format, integrity, spec hash, shape and values."""
     row = spark.read.schema("document string, integrity string").parquet(f"{path}/metadata").first()
     if row is None:
-        raise ModelError("no metadata")
+        raise ModelError(f"{path}/metadata has 0 rows")
     metadata = json.loads(row["document"])
     if metadata.get("format") != FORMAT or metadata.get("format_version") != FORMAT_VERSION:
-        raise ModelError("unsupported student format; train again with this version")
+        raise ModelError(f"{path}: {metadata.get('format')} {metadata.get('format_version')}, this package reads {FORMAT} {FORMAT_VERSION}")
     model = model_from_table(spark.read.schema(WEIGHTS).parquet(f"{path}/weights").toArrow())
-    if _seal(metadata, model) != row["integrity"]:
-        raise ModelError("integrity check failed; the student was changed or cut short")
+    if (seal := _seal(metadata, model)) != row["integrity"]:
+        raise ModelError(f"{path}: integrity {row['integrity']} is stored, the contents give {seal}")
     spec = TaskSpec.from_dict(metadata["spec"])
     if spec.spec_hash != metadata["spec_hash"]:
-        raise ModelError("stored task does not match its hash")
+        raise ModelError(f"{path}: task hash {metadata['spec_hash']} is stored, the task gives {spec.spec_hash}")
     raw = metadata["features"]
     stats = {k: tuple(raw[k]) if raw[k] is not None else None for k in ("mean", "sd")}
     descriptor = FeatureDescriptor(**{**raw, **stats})
@@ -130,4 +130,4 @@ def check_compatible(student: Student, fingerprint: str | None, cache: DataFrame
     if cache is not None and "source_fingerprint" in cache.columns:
         foreign = cache.filter(~F.col("source_fingerprint").eqNullSafe(fingerprint)).select("content_hash").first()
         if foreign is not None:
-            raise ModelError("the representation table mixes sources")
+            raise ModelError(f"content {foreign['content_hash']} is represented by another source than {fingerprint}")

@@ -159,7 +159,7 @@ def test_dataset_reader(spark, tmp_path):
         read_dataset(spark, twice, spec)
     assert read_dataset(spark, twice, spec, "drop").count() == 1
     assert [r["seq"] for r in read_dataset(spark, twice, spec, "quarantine").filter(F.size("violations") > 0).collect()] == [1]
-    with pytest.raises(DataError, match="more than 1 rows"):
+    with pytest.raises(DataError, match="2 rows, max_rows is 1"):
         read_dataset(spark, twice, task(dataset=DatasetSettings(max_rows=1)))
     with pytest.raises(DataError, match="exceeds 256 bytes"):
         long = json.dumps({"id": "a", "input": {"request": "r", "note": "n" * 300}})
