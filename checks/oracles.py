@@ -214,6 +214,7 @@ WITH {DOCS},
 l0 AS (SELECT seq AS k, sha256(id || chr(9) || content_hash || chr(9) || '' || chr(9) || coalesce(gold, '')) AS h FROM doc_task),
 {tree('l1', 'l0', 'k // 4096')}, {tree('l2', 'l1', 'k // 4096')}, {tree('l3', 'l2', 'k // 4096')}, {tree('l4', 'l3', 'k // 4096')}
 SELECT sha256(string_agg(h, chr(10) ORDER BY k)) AS fingerprint FROM l4"""
+ORACLES["fingerprint_incremental"] = ORACLES["fingerprint_dataset"]
 ORACLES["fingerprint_labels"] = f"""
 WITH {DOC_RECORDS},
 l0 AS (SELECT id, substr(sha256(id), 1, 6) AS leaf,
@@ -539,7 +540,9 @@ FROM best b JOIN scored s ON b.vec_id = s.vec_id AND s.c = 3"""
 GRID = "grid AS (SELECT r, q FROM (SELECT unnest(range(0, {k})) AS r), (SELECT unnest(range(0, {k})) AS q))"
 ORACLES["save_load_predict"] = ORACLES["prediction_rows"]
 ORACLES["fit_optimum"] = "SELECT count(*) AS examples, count(DISTINCT label) AS classes, true AS converged, true AS flat FROM embeddings"
-ORACLES["compatible_sources"] = "SELECT r_name AS source, r_name = (SELECT min(r_name) FROM region) AS fits FROM region"
+ORACLES["compatible_sources"] = """
+SELECT source, count(*) AS rows, CASE source WHEN 'src0' THEN 'words,zero' WHEN 'src1' THEN 'one,words' ELSE 'words' END AS students
+FROM documents GROUP BY source"""
 ORACLES["confusion"] = f"""
 WITH {RULE}, {GRID.format(k=10)}
 SELECT r::BIGINT AS reference, q::BIGINT AS predicted, count(vec_id) AS n FROM grid LEFT JOIN best ON label = r AND predicted = q GROUP BY 1, 2"""

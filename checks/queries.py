@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import tasks as t
-from pupilage.config import InputField, ModelError, TaskSpec
+from pupilage.config import InputField, TaskSpec
 from pupilage.functions import hashing
 from pupilage.functions import probability as prob
 from pupilage.functions.ngrams import hashed_vector
@@ -23,6 +23,7 @@ from pupilage.sources import dataset as dataset_source
 from pupilage.sources import models
 from pupilage.sources import records as record_source
 from pupilage.sources import reports
+from pupilage.sources.merkle import StoredTree
 from pupilage.sources.storage import fresh_path
 from pupilage.sources.tables import table
 from pupilage.sources.versions import VersionedTable
@@ -114,6 +115,17 @@ def fingerprint_dataset(spark, folder):
     return identity.fingerprint_ordered(t.hashed_documents(spark, folder), identity.dataset_line(), F.col("seq"))
 
 
+@query
+def fingerprint_incremental(spark, folder):
+    """Three appends to a stored tree, the second of every seventh place between the others' rows: the root is that of the whole table."""
+    rows = t.hashed_documents(spark, folder)
+    tree = StoredTree(spark, fresh_path(spark, "tree"))
+    late, half = F.col("seq") % 7 == 3, F.col("seq") % 1000 < 500
+    for part in (rows.filter(half & ~late), rows.filter(late), rows.filter(~half & ~late)):
+        tree.append(part, identity.dataset_line(), F.col("seq"))
+    return tree.fingerprint()
+
+
 @query
 def fingerprint_labels(spark, folder):
     return identity.fingerprint_keyed(t.document_records(spark, folder), identity.label_line(), F.col("id"))
@@ -825,18 +837,15 @@ def save_load_predict(spark, folder):
 
 @query
 def compatible_sources(spark, folder):
-    """Which sources' representations a student made from the first region's may use."""
-    names = [r["r_name"] for r in table(spark, folder, "region").select("r_name").orderBy("r_name").collect()]
-    own = models.Student(t.VECTORS, features.FeatureDescriptor("embedding", 64, (0.0,) * 64, (1.0,) * 64, t.VECTORS.question_hash, names[0]), rule_model(), {})
-
-    def fits(name: str) -> bool:
-        try:
-            models.check_compatible(own, name)
-        except ModelError:
-            return False
-        return True
-
-    return spark.createDataFrame([(n, fits(n)) for n in names], "source string, fits boolean")
+    """Documents as representations of their source: how many rows each source has, and which of three students may read them."""
+
+    def made_from(name: str, source: str) -> models.Student:
+        spec = dataclasses.replace(t.VECTORS, name=name)
+        return models.Student(spec, features.FeatureDescriptor("embedding", 64, (0.0,) * 64, (1.0,) * 64, spec.question_hash, source), rule_model(), {})
+
+    students = score.registry([made_from("zero", "src0"), made_from("one", "src1"), rule_student(t.CONVERSATIONS, "words", 0)])
+    rows = table(spark, folder, "documents").select(F.col("source").alias("source_fingerprint"))
+    return models.sources_for(rows, students).select(F.col("source_fingerprint").alias("source"), "rows", "students")
 
 
 def rule_scored(spark: SparkSession, folder: str) -> DataFrame:

@@ -47,7 +47,8 @@ def fingerprint_small(df: DataFrame, line: Column, order: Column, alias: str = "
     )
 
 
-def _hash_children(df: DataFrame, parent: Column) -> DataFrame:
+def hash_children(df: DataFrame, parent: Column) -> DataFrame:
+    """Nodes (k, h) of the next level from the nodes below, each hashed in order of ``k``."""
     children = F.array_sort(F.collect_list(F.struct("k", "h")))
     return (
         df.groupBy(parent.alias("p"))
@@ -65,7 +66,7 @@ def fingerprint_ordered(df: DataFrame, line: Column, seq: Column, alias: str = "
     """
     level = df.select(seq.cast("bigint").alias("k"), F.sha2(line, 256).alias("h"))
     for _ in range(TREE_LEVELS):
-        level = _hash_children(level, F.floor(F.col("k") / FAN_IN).cast("bigint"))
+        level = hash_children(level, F.floor(F.col("k") / FAN_IN).cast("bigint"))
     return fingerprint_small(level, F.col("h"), F.col("k"), alias)
 
 
@@ -79,7 +80,7 @@ def fingerprint_keyed(df: DataFrame, line: Column, key: Column, alias: str = "fi
     level = leaves.groupBy("leaf").agg(
         F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "\n"), 256).alias("h")
     ).select(F.col("leaf").alias("k"), "h")
-    level = _hash_children(level, F.substring("k", 1, 3))
+    level = hash_children(level, F.substring("k", 1, 3))
     return fingerprint_small(level, F.col("h"), F.col("k"), alias)
 
 

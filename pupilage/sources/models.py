@@ -131,3 +131,17 @@ def check_compatible(student: Student, fingerprint: str | None, cache: DataFrame
         foreign = cache.filter(~F.col("source_fingerprint").eqNullSafe(fingerprint)).select("content_hash").first()
         if foreign is not None:
             raise ModelError(f"content {foreign['content_hash']} is represented by another source than {fingerprint}")
+
+
+def sources_for(representations: DataFrame, students: dict[str, Student]) -> DataFrame:
+    """Per source of a representation table its rows and the students that may read them, names in order.
+
+    Hashed students read no representation, so any source, and none, fits them.
+    ``students`` are at most ``MAX_STUDENTS`` and go out to the sources.
+    """
+    spark = representations.sparkSession
+    known = [(name, s.features.scheme == "hashed", s.features.source_fingerprint) for name, s in sorted(students.items())]
+    table = F.broadcast(spark.createDataFrame(known, "student string, any_source boolean, own string"))
+    counted = representations.groupBy("source_fingerprint").agg(F.count(F.lit(1)).alias("rows"))
+    met = counted.join(table, F.col("any_source") | (F.col("own") == F.col("source_fingerprint")), "left")
+    return met.groupBy("source_fingerprint", "rows").agg(F.array_join(F.array_sort(F.collect_list("student")), ",").alias("students"))

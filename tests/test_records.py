@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from pupilage.config import DataError, DatasetSettings, Gate
 from pupilage.operators import ledger, records, runs, split
-from pupilage.operators.identity import with_content_hash
+from pupilage.operators.identity import fingerprint_small, hash_children, with_content_hash
 from pupilage.operators.teacher import Teacher, label
 from pupilage.plans import importing
 from pupilage.sources import lines
 from pupilage.sources.dataset import ordered_lines, read_dataset
 from pupilage.sources.commits import CommitLog
+from pupilage.sources.merkle import StoredTree
 from pupilage.sources.records import Conflict, LabelStore, bucket_of, read_labels, read_ledger, read_ledger_lines, write_labels
 from pupilage.sources.storage import bucketed
 from pupilage.sources.versions import VersionedTable, pinned
@@ -545,3 +546,26 @@ def test_a_very_long_line_is_not_held(tmp_path):
     done = subprocess.run([sys.executable, "-c", code, str(path)], capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": os.getcwd()})
     found, grown = done.stdout.rsplit(" ", 1)
     assert found == str([(0, 5, 5), (6, (1 << 30) - 6, 1001), ((1 << 30) + 1, 4, 4)]) and int(grown) < 100_000
+
+
+def test_a_stored_tree_follows_appends_without_reading_untouched_zones(spark, tmp_path, monkeypatch):
+    """Fan 4: a zone has 16 places. The root equals that of a tree made at once; an append opens its own zones and those above."""
+    rows = spark.createDataFrame([(k, f"row {k}") for k in range(200)], "seq long, text string")
+    line, seq = F.col("text"), F.col("seq")
+    at_once = StoredTree(spark, str(tmp_path / "once"), 4, 4)
+    at_once.append(rows, line, seq)
+    grown, opened = StoredTree(spark, str(tmp_path / "grown"), 4, 4), []
+    stored = grown._stored
+    monkeypatch.setattr(grown, "_stored", lambda state, level, zones: opened.append((level, tuple(zones))) or stored(state, level, zones))
+    for low, high in ((0, 90), (95, 200), (90, 95)):
+        opened.clear()
+        grown.append(rows.filter(seq.between(low, high - 1)), line, seq)
+    assert opened == [(0, (5,)), (1, (1,)), (2, (0,)), (3, (0,))]
+    assert grown.fingerprint().first() == at_once.fingerprint().first()
+    level = rows.select(seq.alias("k"), F.sha2(line, 256).alias("h"))
+    for _ in range(4):
+        level = hash_children(level, F.floor(F.col("k") / 4).cast("bigint"))
+    assert grown.fingerprint().first() == fingerprint_small(level, F.col("h"), F.col("k")).first()
+    other = StoredTree(spark, str(tmp_path / "other"), 4, 4)
+    other.append(rows.withColumn("text", F.when(seq == 92, "changed").otherwise(line)), line, seq)
+    assert other.fingerprint().first() != grown.fingerprint().first()
