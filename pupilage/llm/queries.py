@@ -101,6 +101,36 @@ QUERIES = {
 }
 #: Queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op7_chat_formatting": r"""
+        WITH given AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+        measured AS (
+            SELECT *,
+                   CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9
+                             ELSE 16 + length(role) + len(regexp_extract_all(role, '[\\>]')) END AS marks,
+                   len(regexp_extract_all(text, '<</?SYS>>|\[/?INST\]|</?s>|<role:|</role>|\\')) AS escapes
+            FROM given)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(marks + length(text) + escapes)::BIGINT AS formatted_chars
+        FROM measured GROUP BY conv_id""",
+    "op8_lattice": """
+        WITH RECURSIVE whole AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0
+              AND len([x FOR x IN embedding IF x <> 0]) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM whole a JOIN whole b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),
+        reached(a, b) AS (
+            SELECT vec_id, vec_id FROM embeddings
+            UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+        found AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = found.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM found""",
     "op13_exact_top_k": """
         WITH given AS (
             SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
