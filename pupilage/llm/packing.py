@@ -19,10 +19,12 @@ read.
 from __future__ import annotations
 
 import heapq
-import itertools
+import json
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -41,17 +43,20 @@ UNIT = 8
 GRID = 512
 END = 1
 DEPTH = 3
-#: Words that a task remembers the ids of.
+#: Parts that a worker process remembers the ids of, in each of two ages.
 MEMORY = 400_000
+#: Characters of texts whose new parts are learned together.
+GROUP = 1 << 20
 
-#: Fixed values of the tokenizer file: its split pattern, and letters that its normaliser treats one by one.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What parts texts that are put together: a control character, which no such text has.
+MARK = "\x00"
+#: Fixed value of the tokenizer file: letters that its normaliser treats one by one.
 PLAIN = regex.compile(r"[\t\n\r -~¡-ɏ]*")
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
 class WordTokens:
-    """Ids of whole texts, put together from the ids of their words, which are remembered.
+    """Ids of whole texts, put together from the ids of what stands between white space, which are remembered.
 
     Texts with letters outside the Latin blocks, control characters or the
     strings of special tokens go to the tokenizer whole.
@@ -61,38 +66,67 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        # The same split and merges for text that is normal already, without the search for special tokens.
+        given = json.loads(Path(path).read_text())
+        self.inner = Tokenizer.from_str(json.dumps(given | {"normalizer": None, "added_tokens": []}))
+        self.mark = self.inner.encode(MARK, add_special_tokens=False).ids
+        if len(self.mark) != 1:
+            raise ValueError("the tokenizer has no id for the mark between parts")
+        #: Parts in use, and those in use before; what is asked for again moves up, the rest goes.
         self.parts: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def of(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not PLAIN.fullmatch(text) or any(s in text for s in SPECIAL) or not unicodedata.is_normalized("NFC", text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        # White space parts words, so what stands between it can be remembered as a whole.
-        parts = text.lower().split()
-        try:
-            return b"".join(map(self.parts.__getitem__, parts))
-        except KeyError:
-            self._learn(parts)
-            return b"".join(map(self.parts.__getitem__, parts))
-
-    def _learn(self, parts: list[str]) -> None:
-        """Ids of all new words in one call: each stands alone between spaces, so it is the same word there."""
+        return next(self.of_all([text]))
+
+    def of_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; what is new in about ``GROUP`` characters of texts is learned in one call."""
+        held: list[str | list[str]] = []
+        size = 0
+        for text in texts:
+            # White space parts words, so what stands between it can be remembered as a whole.
+            plain = PLAIN.fullmatch(text) and not any(s in text for s in SPECIAL) and unicodedata.is_normalized("NFC", text)
+            held.append(text.lower().split() if plain else text)
+            size += len(text)
+            if size >= GROUP:
+                yield from self._group(held)
+                held, size = [], 0
+        yield from self._group(held)
+
+    def _group(self, held: list[str | list[str]]) -> Iterator[bytes]:
+        self._learn({part for parts in held if isinstance(parts, list) for part in parts if part not in self.parts})
+        for parts in held:
+            if isinstance(parts, str):
+                yield np.array(self.tokenizer.encode(parts, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            try:
+                yield b"".join(map(self.parts.__getitem__, parts))
+            except KeyError:  # the age turned within the group
+                yield b"".join(self.parts.get(part) or self.before[part] for part in parts)
+
+    def _learn(self, missing: set[str]) -> None:
+        """Ids of all new parts in one call: each stands between spaces and marks, so it has the same ids there."""
         if len(self.parts) > MEMORY:
-            self.parts.clear()
-            self.words.clear()
-        new = [part for part in dict.fromkeys(parts) if part not in self.parts]
-        split = [WORDS.findall(part) for part in new]
-        fresh = [word for word in dict.fromkeys(itertools.chain.from_iterable(split)) if word not in self.words]
-        if fresh:
-            found = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
-            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(fresh))
-            if len(sizes) != len(fresh):
-                raise ValueError("the tokenizer cuts words in another way")
-            data, end = np.array(found.ids, "<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
-            self.words.update(zip(fresh, (data[a:b] for a, b in zip([0, *end[:-1]], end))))
-        for part, words in zip(new, split):
-            self.parts[part] = b"".join(map(self.words.__getitem__, words))
+            self.parts, self.before = {}, self.parts
+            # What the group needs of the parts in use has just become what was in use before.
+        new = list(missing - self.before.keys())
+        self.parts.update((part, self.before[part]) for part in missing & self.before.keys())
+        if not new:
+            return
+        ids = np.array(self.inner.encode_batch_fast([f" {MARK} ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(ids == self.mark[0])
+        if len(at) != len(new) - 1:
+            raise ValueError("the tokenizer cuts parts in another way")
+        data = ids.tobytes()
+        starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(data)]
+        self.parts.update(zip(new, (data[a:b] for a, b in zip(starts, ends))))
+
+
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for all tasks that a worker process runs."""
+    return WordTokens(path)
 
 
 def tokenized(docs: DataFrame, path: str, window: int = WINDOW, grid: int = GRID) -> DataFrame:
@@ -102,11 +136,11 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW, grid: int = GRID
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         for batch in batches:
             counts, windows, tails, befores, afters = [], [], [], [], []
-            for text in batch.column("text"):
-                ids = tokens.of(text.as_py() or "") + END.to_bytes(4, "little")
+            for own in tokens.of_all([text or "" for text in batch.column("text").to_pylist()]):
+                ids = own + END.to_bytes(4, "little")
                 n, size = len(ids) // 4, 4 * window
                 tail = ids[n // window * size :]
                 counts.append(n)
