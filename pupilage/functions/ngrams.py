@@ -20,6 +20,8 @@ from pupilage.functions.text import field_text, words
 # Fixed values of 64-bit FNV-1a.
 FNV_BASIS = 0xCBF29CE484222325
 FNV_PRIME = 0x100000001B3
+# Words that are hashed at once; each takes some hundred bytes meanwhile.
+SLICE_WORDS = 1 << 18
 
 
 def _absorb(state: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -80,6 +82,17 @@ def _term_counts(columns: list[pa.Array], names: list[str], dimensions: int):
     return cells // dimensions, cells % dimensions, counts
 
 
+def _in_slices(build: Callable[..., pa.Array], columns: tuple[pa.Array, ...], words: int) -> pa.Array:
+    """``build`` over slices of a batch that hold about ``SLICE_WORDS`` words, at least one row each; lists of words are the last ``words`` columns."""
+    ends = np.cumsum(sum(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[len(columns) - words :]))
+    found, at = [], 0
+    while at < len(ends) or not found:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_WORDS, side="right")))
+        found.append(build(*(c.slice(at, stop - at) for c in columns)))
+        at = stop
+    return pa.concat_arrays(found)
+
+
 def _normalized(row: np.ndarray, counts: np.ndarray, rows: int) -> np.ndarray:
     """log1p counts scaled to unit length per row."""
     raw = np.log1p(counts)
@@ -130,7 +143,7 @@ def hashed_vector(fields: tuple[InputField, ...], dimensions: int, source: str =
         row, bucket, count = _term_counts(list(columns), names, dimensions)
         return _vector_array(row, bucket, _normalized(row, count, rows), rows, dimensions)
 
-    return F.arrow_udf(_fixed_arity(build, len(fields)), VectorUDT())(*word_columns(fields, source))
+    return F.arrow_udf(_fixed_arity(lambda *columns: _in_slices(build, columns, len(fields)), len(fields)), VectorUDT())(*word_columns(fields, source))
 
 
 def hybrid_vector(dense: Column, size: int, fields: tuple[InputField, ...], dimensions: int, source: str = "input") -> Column:
@@ -148,7 +161,7 @@ def hybrid_vector(dense: Column, size: int, fields: tuple[InputField, ...], dime
         order = np.argsort(all_rows, kind="stable")
         return _vector_array(all_rows[order], all_index[order], all_values[order], rows, size + dimensions)
 
-    return F.arrow_udf(_fixed_arity(build, len(fields) + 1), VectorUDT())(dense, *word_columns(fields, source))
+    return F.arrow_udf(_fixed_arity(lambda *columns: _in_slices(build, columns, len(fields)), len(fields) + 1), VectorUDT())(dense, *word_columns(fields, source))
 
 
 def _fixed_arity(build: Callable[..., pa.Array], count: int) -> Callable[..., pa.Array]:

@@ -20,6 +20,8 @@ BETA1 = 0.9
 BETA2 = 0.999
 EPSILON = 1e-8
 PROBABILITY_FLOOR = 1e-12
+# Stored values that are worked on at once.
+SLICE_CELLS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -78,6 +80,16 @@ def _probabilities(cells, rows: int, weights: np.ndarray, bias: np.ndarray) -> n
     return exps / exps.sum(axis=1, keepdims=True)
 
 
+def _slices(vectors: pa.StructArray, cells: int = SLICE_CELLS) -> Iterator[slice]:
+    """Places of rows that hold about so many values together, at least one row each."""
+    ends = np.cumsum(vectors.field("values").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(vectors):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + cells, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
 def _batch_struct(batch: pa.RecordBatch, name: str) -> pa.StructArray:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -169,7 +181,8 @@ def probabilities(model: LinearModel, spark: SparkSession, features: Column | st
 
     def score(vectors: pa.Array) -> pa.Array:
         weights, bias = shared.value
-        p = _probabilities(_cells(vectors), len(vectors), weights, bias)
+        parts = [vectors[own] for own in _slices(vectors)]
+        p = np.concatenate([np.zeros((0, len(bias))), *(_probabilities(_cells(part), len(part), weights, bias) for part in parts)])
         offsets = np.arange(len(vectors) + 1, dtype=np.int32) * len(bias)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(p.ravel()))
 
