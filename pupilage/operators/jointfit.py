@@ -12,7 +12,7 @@ job that serves all fits still running.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 
 from pupilage.config import TaskSpec, TrainingError
 from pupilage.operators import stagefit
-from pupilage.operators.student import BETA1, BETA2, EPSILON, PROBABILITY_FLOOR, Fit, LinearModel, _batch_struct, _cells, _probabilities
+from pupilage.operators.blocks import Block, Sums, batch_blocks, packed, unpacked
+from pupilage.operators.student import BETA1, BETA2, EPSILON, Fit, LinearModel, _cells, _probabilities, _slices
+from pupilage.sources.storage import materialize
 
 MEMORY = 10
 TOLERANCE = 1e-6
 # Parameters broadcast per pass: 64 MB of doubles.
 MAX_PARAMETERS = 8_000_000
+# Summed numbers in one row that a task of a pass sends: 128 KB.
+PART = 1 << 14
 # No row has this fold.
 NO_FOLD = -1
 ABSENT_BIAS = -1e3
@@ -124,43 +128,48 @@ def _unpack(x: np.ndarray, classes: int, dimensions: int) -> LinearModel:
 
 
 def joint_sums(rows: DataFrame, points: list[np.ndarray], jobs: list[Job], classes: int, dimensions: int) -> list[tuple[float, np.ndarray]]:
-    """Loss and gradient sums of all jobs in one pass over (features,
-    label_index, fold).
+    """Loss and gradient sums of all jobs in one pass over (features, label_index, fold)."""
+    return _summed(rows.select("features", "label_index", "fold"), batch_blocks, points, jobs, classes, dimensions)
 
-    Each task sends at most one cell per parameter. The cells are added up in
-    a shuffle, so the driver receives the summed parameters only.
+
+def _summed(table: DataFrame, blocks: Callable[[pa.RecordBatch], Iterator[Block]], points: list[np.ndarray], jobs: list[Job], classes: int, dimensions: int) -> list[tuple[float, np.ndarray]]:
+    """The sums over the blocks that ``blocks`` finds in the batches of a table.
+
+    Each task sends its sums in parts of at most ``PART`` numbers, without those
+    that are all zero. The parts are added up behind a shuffle, so the driver
+    receives the summed parameters only.
     """
-    size = classes * (dimensions + 1)
-    shared = rows.sparkSession.sparkContext.broadcast((points, [(j.left_out, np.array(j.weights)) for j in jobs]))
+    length = len(jobs) * (classes * (dimensions + 1) + 1)
+    shared = table.sparkSession.sparkContext.broadcast((np.stack(points), [(j.left_out, np.array(j.weights)) for j in jobs]))
+
+    def rows_of(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([p.tobytes() for p in parts.values()], pa.binary())], ["part", "sums"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, plans = shared.value
-        grads, losses = np.zeros((len(at), size)), np.zeros(len(at))
+        found = Sums(at, plans, dimensions)
+        for batch in batches:
+            for block in blocks(batch):
+                found.add(block)
+        flat = found.found.ravel()
+        yield rows_of({k // PART: flat[k : k + PART] for k in range(0, length, PART) if flat[k : k + PART].any()})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
         for batch in batches:
-            cells = row, index, value = _cells(_batch_struct(batch, "features"))
-            label = batch.column("label_index").to_numpy(zero_copy_only=False).astype(np.int64)
-            fold = batch.column("fold").to_numpy(zero_copy_only=False)
-            n = len(label)
-            for m, (left_out, class_weight) in enumerate(plans):
-                weights, bias = at[m][: classes * dimensions].reshape(classes, dimensions), at[m][classes * dimensions :]
-                w = np.where(fold == left_out, 0.0, class_weight[label])
-                p = _probabilities(cells, n, weights, bias)
-                losses[m] -= float(w @ np.log(np.maximum(p[np.arange(n), label], PROBABILITY_FLOOR)))
-                p[np.arange(n), label] -= 1.0
-                g = p * w[:, None]
-                for c in range(classes):
-                    grads[m, c * dimensions : (c + 1) * dimensions] += np.bincount(index, g[row, c] * value, dimensions)
-                grads[m, classes * dimensions :] += g.sum(axis=0)
-        flat = np.concatenate([grads, losses[:, None]], axis=1).ravel()
-        cell = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(cell.astype(np.int64)), "value": pa.array(flat[cell])})
-
-    partial = rows.select("features", "label_index", "fold").mapInArrow(sums, "cell bigint, value double")
-    length = len(jobs) * (size + 1)
-    table = partial.groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+            for part, some in zip(batch.column("part").to_pylist(), batch.column("sums")):
+                own = np.frombuffer(some.as_buffer())
+                parts[part] = parts[part] + own if part in parts else own.copy()
+        yield rows_of(parts)
+
+    partial = table.mapInArrow(sums, "part int, sums binary")
+    width = min(-(-length // PART), slots_of(table)[0])
+    found = partial.repartition(width, "part").mapInArrow(added, "part int, sums binary").toArrow()
     shared.unpersist()
-    flat = np.bincount(table.column("cell").to_numpy(), table.column("value").to_numpy(), length)
-    return [(float(part[-1]), part[:-1]) for part in flat.reshape(len(jobs), size + 1)]
+    flat = np.zeros(length)
+    for part, some in zip(found.column("part").to_pylist(), found.column("sums")):
+        flat[part * PART : (part + 1) * PART] = np.frombuffer(some.as_buffer())
+    return [(float(part[-1]), part[:-1]) for part in flat.reshape(len(jobs), -1)]
 
 
 @dataclass(frozen=True)
@@ -190,7 +199,8 @@ def _finished(job: Job, steps, classes: int, dimensions: int) -> tuple[LinearMod
 
 
 def _by_passes(rows: DataFrame, jobs: list[Job], classes: int, dimensions: int, passes: int, method: str, rate: float) -> list[Fitted]:
-    """A Spark job a pass."""
+    """A Spark job a pass, over a table of blocks written once."""
+    table = materialize(packed(rows), "blocks")
     penalty = np.concatenate([np.ones(classes * dimensions), np.zeros(classes)])
     steps = _starts(len(jobs), classes * (dimensions + 1), method, rate)
     for _ in range(passes):
@@ -198,7 +208,7 @@ def _by_passes(rows: DataFrame, jobs: list[Job], classes: int, dimensions: int,
         if not active:
             break
         points = [steps[i].trial() for i in active]
-        sums = joint_sums(rows, points, [jobs[i] for i in active], classes, dimensions)
+        sums = _summed(table, unpacked, points, [jobs[i] for i in active], classes, dimensions)
         for i, point, (loss, gradient) in zip(active, points, sums):
             penalized = point * penalty
             f = loss / jobs[i].total + 0.5 * jobs[i].l2 * float(penalized @ penalized)
@@ -311,13 +321,15 @@ def _hits(rows: DataFrame, models: list[LinearModel], jobs: list[Job]) -> list[t
     shared = rows.sparkSession.sparkContext.broadcast([(m.weights, m.bias, j.left_out) for m, j in zip(models, jobs)])
 
     def judge(features: pa.Array, label: pa.Array, fold: pa.Array) -> pa.Array:
-        cells, n = _cells(features), len(features)
+        n = len(features)
         truth, place = label.to_numpy(zero_copy_only=False), fold.to_numpy(zero_copy_only=False)
         hits = np.zeros((n, len(shared.value)), np.int32)
-        for m, (weights, bias, left_out) in enumerate(shared.value):
-            tested = (place == left_out) | (left_out == NO_FOLD)
-            if tested.any():
-                hits[:, m] = (_probabilities(cells, n, weights, bias).argmax(axis=1) == truth) & tested
+        for own in _slices(features):
+            cells, size = _cells(features[own]), own.stop - own.start
+            for m, (weights, bias, left_out) in enumerate(shared.value):
+                tested = (place[own] == left_out) | (left_out == NO_FOLD)
+                if tested.any():
+                    hits[own, m] = (_probabilities(cells, size, weights, bias).argmax(axis=1) == truth[own]) & tested
         offsets = np.arange(n + 1, dtype=np.int32) * hits.shape[1]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(hits.ravel()))
 

@@ -29,9 +29,10 @@ from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pupilage.operators.student import PROBABILITY_FLOOR, LinearModel, _batch_struct, _cells, _probabilities
+from pupilage.operators.blocks import Sums, batch_blocks
+from pupilage.operators.student import LinearModel, _probabilities
 
-# Cells (feature, value) that one task may hold: about 200 MB.
+# Cells (feature, value) that one task may hold: about 100 MB.
 RESIDENT_CELLS = 8_000_000
 # Bytes of optimiser state in one task; L-BFGS keeps about this many vectors a job.
 STATE_BYTES = 256 << 20
@@ -75,41 +76,26 @@ def layout(cells: int, jobs: int, size: int, classes: int, slots: int, barrier:
 
 
 class Held:
-    """The rows of one shard."""
+    """The rows of one shard, as blocks: 12 bytes a cell."""
 
     def __init__(self, batches: Iterator[pa.RecordBatch]):
-        parts, labels, folds, n = [], [], [], 0
-        for batch in batches:
-            row, index, value = _cells(_batch_struct(batch, "features"))
-            parts.append((row + n, index, value))
-            labels.append(batch.column("label_index").to_numpy(zero_copy_only=False).astype(np.int64))
-            folds.append(batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int64))
-            n += batch.num_rows
-        join = lambda some, kind: np.concatenate(some) if some else np.zeros(0, kind)
-        self.cells = tuple(join([p[k] for p in parts], np.float64 if k == 2 else np.int64) for k in range(3))
-        self.label, self.fold, self.rows = join(labels, np.int64), join(folds, np.int64), n
-
-    def sums(self, x: np.ndarray, left_out: int, class_weight: np.ndarray, dimensions: int) -> np.ndarray:
-        """Gradient sums and the loss sum at ``x``, over the rows outside the left-out fold."""
-        classes = len(class_weight)
-        weights, bias = x[: classes * dimensions].reshape(classes, dimensions), x[classes * dimensions :]
-        row, index, value = self.cells
-        w = np.where(self.fold == left_out, 0.0, class_weight[self.label])
-        p = _probabilities(self.cells, self.rows, weights, bias) if self.rows else np.zeros((0, classes))
-        at = np.arange(self.rows)
-        loss = -float(w @ np.log(np.maximum(p[at, self.label], PROBABILITY_FLOOR)))
-        p[at, self.label] -= 1.0
-        g = p * w[:, None]
-        grad = [np.bincount(index, g[row, c] * value, dimensions) for c in range(classes)]
-        return np.concatenate([*grad, g.sum(axis=0), [loss]])
+        self.blocks = [block for batch in batches for block in batch_blocks(batch)]
+
+    def sums(self, points: list[np.ndarray], plans: list[tuple[int, np.ndarray]], dimensions: int) -> np.ndarray:
+        """For each point, the gradient sums and the loss sum over the rows outside the left-out fold of its plan."""
+        found = Sums(np.stack(points), plans, dimensions)
+        for block in self.blocks:
+            found.add(block)
+        return found.found
 
     def hits(self, model: LinearModel, tested: int | None) -> tuple[int, int]:
         """Right answers and rows, of one fold or of all."""
-        if not self.rows:
-            return 0, 0
-        seen = np.ones(self.rows, bool) if tested is None else self.fold == tested
-        right = _probabilities(self.cells, self.rows, model.weights, model.bias).argmax(axis=1) == self.label
-        return int((right & seen).sum()), int(seen.sum())
+        hits = rows = 0
+        for block in self.blocks:
+            seen = np.ones(block.rows, bool) if tested is None else block.fold == tested
+            right = _probabilities(block.cells(), block.rows, model.weights, model.bias).argmax(axis=1) == block.label
+            hits, rows = hits + int((right & seen).sum()), rows + int(seen.sum())
+        return hits, rows
 
 
 def dealt(rows: DataFrame, grid: Grid) -> DataFrame:
@@ -146,7 +132,7 @@ def run_jobs(rows: DataFrame, jobs: list, starts: Callable[[], list], finish: Ca
             if exchange is None and not active:
                 break
             points = [steps[k].trial() for k in active]
-            flat = np.concatenate([held.sums(x, plans[k][0], plans[k][1], dimensions) for k, x in zip(active, points)]) if active else np.zeros(0)
+            flat = held.sums(points, [plans[k][:2] for k in active], dimensions).ravel() if active else np.zeros(0)
             if exchange is not None:
                 said = exchange(base64.b64encode(flat.tobytes()).decode())
                 if not any(said):

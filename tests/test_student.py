@@ -1,12 +1,14 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from pupilage.config import Gate, InputField, Label, ModelError, StudentSettings, TrainingError
-from pupilage.operators import features, jointfit, metrics, stagefit, student
+from pupilage.functions import ngrams
+from pupilage.operators import blocks, features, jointfit, metrics, stagefit, student
 from pupilage.operators.stagefit import Grid
 from pupilage.plans import score
 from pupilage.plans import train as training
@@ -327,3 +329,59 @@ def test_selection_and_fit_take_few_jobs(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert selection.folds == 5 and fitted.converged
     assert 0 < len(tracker.getJobIdsForGroup(group)) <= 10
+
+
+@pytest.mark.parametrize("filled", [1, 10**6])
+def test_sums_over_blocks_by_brute_force(monkeypatch, filled):
+    """Matrix blocks and cell blocks, cut in small parts, give the sums of the whole."""
+    monkeypatch.setattr(blocks, "FILLED", filled)
+    monkeypatch.setattr(blocks, "MATRIX_CELLS", 64)
+    monkeypatch.setattr(blocks, "SPARSE_CELLS", 16)
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((40, 9)) < 0.4, rng.normal(size=(40, 9)), 0.0)
+    y, fold = rng.integers(0, 3, 40).astype(np.int32), rng.integers(0, 2, 40).astype(np.int32)
+    row, index = np.nonzero(x)
+    block = blocks.Block(y, fold, np.bincount(row, minlength=40).astype(np.int32), index.astype(np.int32), x[row, index])
+    assert block.filled(9) == (filled > 1)
+    at, weight = rng.normal(size=(2, 30)), np.array([1.0, 2.0, 0.5])
+    sums = blocks.Sums(at, [(0, weight), (1, weight)], 9)
+    sums.add(block)
+    for k in range(2):
+        inside = fold != k
+        w = weight[y[inside]]
+        loss, *gradient = objective(x[inside], y[inside], w, at[k, :27].reshape(3, 9), at[k, 27:], 0.0)
+        assert sums.found[k, -1] == pytest.approx(loss * w.sum())
+        assert sums.found[k, :-1] == pytest.approx(np.concatenate([g.ravel() for g in gradient]) * w.sum())
+
+
+def test_a_pass_sends_few_rows_and_blocks_stay_small(spark, monkeypatch):
+    """What a task of a pass sends is bounded by the parameters alone, and a table of blocks keeps every row."""
+    _, y, _, df = points(spark)
+    rows = materialize(df.withColumn("fold", F.lit(0)), "sums")
+    monkeypatch.setattr(blocks, "PACKED_CELLS", 20)
+    table = materialize(blocks.packed(rows), "blocks").toArrow()
+    held = [b for batch in table.to_batches() for b in blocks.unpacked(batch)]
+    assert sum(b.rows for b in held) == len(y)
+    job = jointfit.Job(0.1, jointfit.NO_FOLD, (1.0, 1.0, 1.0), float(len(y)))
+    want = jointfit.joint_sums(rows, [np.zeros(18)], [job], 3, 5)[0]
+    monkeypatch.setattr(jointfit, "PART", 4)
+    got = jointfit.joint_sums(rows, [np.zeros(18)], [job], 3, 5)[0]
+    assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1])
+
+
+def test_words_are_hashed_in_slices(monkeypatch):
+    """A batch is hashed a bounded number of words at a time, with the values of the whole."""
+    words = pa.array([["a", "b", "a"], [], None, ["c"] * 9, ["a", "c"]], pa.list_(pa.string()))
+    seen = []
+
+    def build(column):
+        seen.append(len(column.flatten()))
+        row, bucket, count = ngrams._term_counts([column], ["f"], 64)
+        return ngrams._vector_array(row, bucket, ngrams._normalized(row, count, len(column)), len(column), 64)
+
+    whole = build(words)
+    seen.clear()
+    monkeypatch.setattr(ngrams, "SLICE_WORDS", 4)
+    assert ngrams._in_slices(build, (words,), 1).to_pylist() == whole.to_pylist()
+    assert seen == [3, 9, 2]
+    assert ngrams._in_slices(build, (words.slice(0, 0),), 1).to_pylist() == []
