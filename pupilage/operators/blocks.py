@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 
 from pupilage.operators.student import PROBABILITY_FLOOR, _batch_struct, _cells, _probabilities
 
-# Numbers in the matrix of a block that is written out (8 MB), and cells of one that is not.
-MATRIX_CELLS = 1 << 20
+# Numbers in the matrix of a block that is written out (2 MB), and cells of one that is not.
+MATRIX_CELLS = 1 << 18
 SPARSE_CELLS = 1 << 19
 MATRIX_ROWS = 512
+MATRIX_LEAST = 16
 # A matrix is written out if at least one number in so many is stored.
 FILLED = 32
 # Cells in one row of a table of blocks, except those of a longer single row of the fit.
@@ -52,16 +53,15 @@ class Block:
             at = stop
 
     def filled(self, dimensions: int) -> bool:
-        return len(self.index) * FILLED >= self.rows * dimensions and dimensions <= MATRIX_CELLS
+        """Whether to write its matrix out; wide rows, of which only few fit in one, go by their cells."""
+        return len(self.index) * FILLED >= self.rows * dimensions and dimensions * MATRIX_LEAST <= MATRIX_CELLS
 
     def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.repeat(np.arange(self.rows), self.sizes), self.index, self.value
 
-    def matrix(self, dimensions: int) -> np.ndarray:
-        full = np.zeros((self.rows, dimensions))
-        row, index, value = self.cells()
-        full[row, index] = value
-        return full
+    def places(self, dimensions: int) -> np.ndarray:
+        """Of the cells in the matrix, row after row."""
+        return np.repeat(np.arange(self.rows) * dimensions, self.sizes) + self.index
 
 
 def block_of(batch: pa.RecordBatch) -> Block:
@@ -115,6 +115,8 @@ class Sums:
         self.weights = points[:, :inner].reshape(self.fits * self.classes, dimensions)
         self.bias = points[:, inner:].reshape(self.fits * self.classes)
         self.found = np.zeros((self.fits, inner + self.classes + 1))
+        # The matrix of one block after the other; only its cells are set and cleared.
+        self.space = np.zeros(0)
 
     def add(self, block: Block) -> None:
         if not self.fits:
@@ -131,7 +133,11 @@ class Sums:
 
     def _add_matrix(self, block: Block) -> None:
         n, inner = block.rows, self.classes * self.dimensions
-        x, w, at = block.matrix(self.dimensions), self._row_weights(block), np.arange(n)
+        if len(self.space) < n * self.dimensions:
+            self.space = np.zeros(max(n * self.dimensions, min(MATRIX_CELLS, MATRIX_ROWS * self.dimensions)))
+        places = block.places(self.dimensions)
+        self.space[places] = block.value
+        x, w, at = self.space[: n * self.dimensions].reshape(n, self.dimensions), self._row_weights(block), np.arange(n)
         p = (x @ self.weights.T + self.bias).reshape(n, self.fits, self.classes)
         p = np.exp(p - p.max(axis=2, keepdims=True))
         p /= p.sum(axis=2, keepdims=True)
@@ -140,6 +146,7 @@ class Sums:
         p *= w.T[:, :, None]
         self.found[:, inner:-1] += p.sum(axis=0)
         self.found[:, :inner] += (p.reshape(n, -1).T @ x).reshape(self.fits, inner)
+        self.space[places] = 0.0
 
     def _add_cells(self, block: Block) -> None:
         n, inner, d = block.rows, self.classes * self.dimensions, self.dimensions

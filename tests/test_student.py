@@ -335,7 +335,7 @@ def test_selection_and_fit_take_few_jobs(spark):
 def test_sums_over_blocks_by_brute_force(monkeypatch, filled):
     """Matrix blocks and cell blocks, cut in small parts, give the sums of the whole."""
     monkeypatch.setattr(blocks, "FILLED", filled)
-    monkeypatch.setattr(blocks, "MATRIX_CELLS", 64)
+    monkeypatch.setattr(blocks, "MATRIX_CELLS", 144)
     monkeypatch.setattr(blocks, "SPARSE_CELLS", 16)
     rng = np.random.default_rng(5)
     x = np.where(rng.random((40, 9)) < 0.4, rng.normal(size=(40, 9)), 0.0)
