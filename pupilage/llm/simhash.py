@@ -23,6 +23,9 @@ component unless all its ids are null; only ``doc_id`` and ``text`` are read.
 of shingles, its fingerprints are made of the distinct shingles, and a pair within
 the limit is a candidate only: it links if the Jaccard similarity of the two sets,
 made from the texts, is as asked. Texts without words are a class of their own.
+Sketches of the sets, which differ in no more bits than the sets in shingles, show
+of most candidates where they meet that they cannot be so similar; only the others
+are written and read again.
 """
 
 from __future__ import annotations
@@ -45,10 +48,13 @@ SEED = 42
 PIECE = 4 << 20
 RECALL = 0.98
 FAN = 8
-PAIRS = 1 << 19
+PAIRS = 1 << 17
 #: Candidates that a class writes from one bucket; with more it writes one and waits for the next round.
 DENSE = 16
 ROUNDS = 4
+#: Bytes of a set's sketch in the first round, for all classes, and in the later ones, for those with many candidates.
+BRIEF = 32
+SKETCH = 128
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
@@ -99,6 +105,12 @@ def fingerprint(hashes: Iterable[np.ndarray], width: int) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(width)
 
 
+def sketch(hashes: np.ndarray, size: int) -> bytes:
+    """For each residue of the hashes, whether an odd number has it: sets differ in at least as many members as sketches in bits."""
+    odd = np.bincount((hashes % np.uint64(8 * size)).astype(np.int64), minlength=8 * size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1) -> DataFrame:
     """``doc_id``, ``hash`` of the text and the fingerprint words ``f0``, ``f1``, ... of every row."""
     names = [f"f{k}" for k in range(width)]
@@ -210,6 +222,7 @@ def tables(width: int, limit: int, classes: int) -> list[np.ndarray]:
 def _met(rows: DataFrame, bits: list[np.ndarray], width: int) -> DataFrame:
     """Rows (``node``, ``f0``, ... and others) in each bucket of each table."""
     names = [f"f{k}" for k in range(width)]
+    kinds = [f"{field.name} {field.dataType.simpleString()}" for field in rows.schema]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +234,7 @@ def _met(rows: DataFrame, bits: list[np.ndarray], width: int) -> DataFrame:
                 key = mixed(value * np.uint64(len(bits)) + np.uint64(number))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], ["key", *batch.schema.names])
 
-    keyed = rows.mapInArrow(keys, ", ".join(["key long", *(f"{name} long" for name in rows.columns)]))
+    keyed = rows.mapInArrow(keys, ", ".join(["key long", *kinds]))
     return spread(keyed, "key", "node")
 
 
@@ -256,25 +269,30 @@ def limit_for(similarity: float, width: int) -> int:
 
 
 def _sets(docs: DataFrame, shingle: int, width: int) -> DataFrame:
-    """``doc_id``, ``hash`` of the text, ``digest`` and ``size`` of its set of shingles and the fingerprint of that set."""
+    """``doc_id``, ``hash`` of the text, ``digest``, ``size``, ``brief`` and ``sketch`` of its set of shingles and the fingerprint of that set."""
     names = [f"f{k}" for k in range(width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_column(batch.column("text"))
-            found = np.zeros((batch.num_rows, width + 2), np.uint64)
+            found, briefs, sketches = np.zeros((batch.num_rows, width + 2), np.uint64), [], []
             for row in range(batch.num_rows):
                 own = distinct(data[offsets[row] : offsets[row + 1]].tobytes(), shingle)
                 found[row] = (xxh64_intdigest(own.tobytes(), SEED), len(own), *fingerprint([own], width))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *(pa.array(found[:, k].view(np.int64)) for k in range(width + 2))], ["doc_id", "hash", "digest", "size", *names])
+                briefs.append(sketch(own, BRIEF))
+                sketches.append(sketch(own, SKETCH))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("hash"), *(pa.array(found[:, k].view(np.int64)) for k in range(width + 2)), pa.array(briefs, pa.binary()), pa.array(sketches, pa.binary())],
+                ["doc_id", "hash", "digest", "size", *names, "brief", "sketch"],
+            )
 
     source = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("hash"), "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, ", ".join([f"doc_id {kind}", "hash long, digest long, size long", *(f"{name} long" for name in names)]))
+    return source.mapInArrow(run, ", ".join([f"doc_id {kind}", "hash long, digest long, size long", *(f"{name} long" for name in names), "brief binary, sketch binary"]))
 
 
 def _candidates(limit: int, width: int, similarity: float, turn: int, dense: int | None):
-    """Pairs of different roots within the limit whose sizes allow the similarity.
+    """Pairs of different roots within the limit whose sizes and sketches allow the similarity.
 
     A row with more than ``dense`` pairs in its bucket writes one, to the least
     neighbour in an order of this turn, and itself as a pair with itself. A pair
@@ -292,6 +310,8 @@ def _candidates(limit: int, width: int, similarity: float, turn: int, dense: int
         bucket, root = bucket[rows], root[rows]
         side, node, size = (table.column(name).to_numpy()[rows] for name in ("side", "node", "size"))
         words = np.stack([table.column(name).to_numpy()[rows].view(np.uint64) for name in names], 1)
+        data, offsets = byte_column(table.column("sketch").combine_chunks())
+        marks = data[offsets[0] : offsets[-1]].reshape(len(offsets) - 1, -1)[rows].view(np.uint64)
         order = mixed(node.view(np.uint64) + np.uint64(turn))
         degree = np.zeros(len(node), np.int64)
         least = np.full(len(node), ~np.uint64(0))
@@ -305,6 +325,11 @@ def _candidates(limit: int, width: int, similarity: float, turn: int, dense: int
             low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
             meet = ((side[i] == 0) | (side[i] != side[j])) & (root[i] != root[j]) & (low >= similarity * high)
             i, j = i[meet], j[meet]
+            # What both sets hold at most, if they differ no more than their sketches do.
+            total = size[i] + size[j]
+            both = (total - np.bitwise_count(marks[i] ^ marks[j]).sum(1, dtype=np.int64)) // 2
+            able = both >= similarity * (total - both)
+            i, j = i[able], j[able]
             if dense is None:
                 yield batch(node[i], node[j])
                 continue
@@ -356,7 +381,7 @@ def _verified(docs: DataFrame, classes: DataFrame, shingle: int, similarity: flo
     names = [f"f{k}" for k in range(width)]
     limit = limit_for(similarity, width)
     bits = tables(width, limit, classes.count())
-    active, tested, roots = classes.select("node", "size", *names).withColumn("root", F.col("node")), None, None
+    active, tested, roots = classes.select("node", "size", F.col("brief").alias("sketch"), *names).withColumn("root", F.col("node")), None, None
     for turn in range(ROUNDS):
         dense = DENSE if turn < ROUNDS - 1 else None
         found = materialize(by_bucket(_met(active, bits, width), _candidates(limit, width, similarity, turn, dense), "a long, b long").distinct(), "candidates")
@@ -368,7 +393,7 @@ def _verified(docs: DataFrame, classes: DataFrame, shingle: int, similarity: flo
         full = found.filter("a = b").select(F.col("a").alias("node"))
         if dense is None or full.isEmpty():
             break
-        active = materialize(classes.select("node", "size", *names).join(full, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "active")
+        active = materialize(classes.select("node", "size", "sketch", *names).join(full, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "active")
     return roots
 
 
@@ -377,7 +402,7 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width:
     sets = materialize(_sets(docs, shingle, width), "sets")
     # Of equal sets one row can stay at most; so few rows are left for the component's choice.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")
-    classes = materialize(sets.groupBy(*(f"f{k}" for k in range(width)), "digest", "size").agg(least).withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = materialize(sets.groupBy(*(f"f{k}" for k in range(width)), "digest", "size", "brief", "sketch").agg(least).withColumn("node", F.monotonically_increasing_id()), "classes")
     roots = _verified(docs, classes, shingle, similarity, width)
     chosen = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     chosen = chosen.select(F.col("least.doc_id").alias("_kept_id"), F.col("least.hash").alias("_kept_hash"))

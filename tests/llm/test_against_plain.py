@@ -97,6 +97,31 @@ def test_only_similar_shingle_sets_link(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.survivors(docs).collect()) == sorted({min(k for k in range(len(rows)) if root[k] == r) for r in set(root)})
 
 
+def test_families_below_the_similarity_write_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: rng.choice(plain.WORDS) + str(rng.randint(0, 99999))
+    # All 11,175 pairs share 0.7 of their shingles, near enough for the fingerprints' limit.
+    shared = [word() for _ in range(126)]
+    rows = [" ".join(shared + [word() for _ in range(26)]) for _ in range(150)]
+    rows += [" ".join(shared + rows[0].split()[126:-1] + ["changed"])]
+    tested, similar = [], simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, *rest: tested.append(pairs.count()) or similar(pairs, *rest))
+    kept = simhash.survivors(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(150))
+    assert 1 <= sum(tested) <= 1000
+
+
+def test_sets_differ_in_no_less_than_their_sketches():
+    rng = np.random.default_rng(3)
+    for size in (simhash.BRIEF, simhash.SKETCH):
+        for _ in range(200):
+            pool = rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64)
+            a, b = (np.unique(pool[rng.random(len(pool)) < share]) for share in rng.random(2))
+            bits = int.from_bytes(simhash.sketch(a, size), "little") ^ int.from_bytes(simhash.sketch(b, size), "little")
+            differ = len(np.setxor1d(a, b))
+            assert bits.bit_count() <= differ and (differ - bits.bit_count()) % 2 == 0
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5000, 5000), (7, 7)] + [(2000 - k, 1999 - k) for k in range(50)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
