@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,14 +47,17 @@ END = 1
 DEPTH = 3
 #: Parts that a worker process remembers the ids of, in each of two ages.
 MEMORY = 400_000
-#: Characters of texts whose new parts are learned together.
-GROUP = 1 << 20
+#: Characters of texts whose different parts are looked up or learned together.
+GROUP = 1 << 22
 
 #: What parts texts that are put together: a control character, which no such text has.
 MARK = "\x00"
 #: Fixed value of the tokenizer file: letters that its normaliser treats one by one.
-PLAIN = regex.compile(r"[\t\n\r -~¡-ɏ]*")
+PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*")
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: The letter that stands for each byte in a byte-level vocabulary: itself if it is printed, else one of those after U+00FF.
+PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {byte: 256 + k for k, byte in enumerate(byte for byte in range(256) if byte not in PRINTED)}
 
 
 class WordTokens:
@@ -72,6 +77,13 @@ class WordTokens:
         self.mark = self.inner.encode(MARK, add_special_tokens=False).ids
         if len(self.mark) != 1:
             raise ValueError("the tokenizer has no id for the mark between parts")
+        steps = (given.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        pattern = steps[0].get("pattern", {}).get("Regex") if steps else None
+        split = {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed", "invert": True}
+        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        known = pattern and len(steps) == 2 and steps[0] == split and {k: steps[1].get(k) for k in level} == level
+        #: What finds the words of parts and the spaces between them, if the file does no more than split by a pattern; else None.
+        self.words = regex.compile(f"(?:{pattern})| ") if known and not any(" " in word for word in regex.findall(pattern, " a  1 . ")) else None
         #: Parts in use, and those in use before; what is asked for again moves up, the rest goes.
         self.parts: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -81,46 +93,83 @@ class WordTokens:
         return next(self.of_all([text]))
 
     def of_all(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; what is new in about ``GROUP`` characters of texts is learned in one call."""
-        held: list[str | list[str]] = []
+        """The ids of each text; about ``GROUP`` characters of texts are treated together."""
+        held: list[str] = []
         size = 0
         for text in texts:
-            # White space parts words, so what stands between it can be remembered as a whole.
-            plain = PLAIN.fullmatch(text) and not any(s in text for s in SPECIAL) and unicodedata.is_normalized("NFC", text)
-            held.append(text.lower().split() if plain else text)
+            held.append(text)
             size += len(text)
             if size >= GROUP:
                 yield from self._group(held)
                 held, size = [], 0
         yield from self._group(held)
 
-    def _group(self, held: list[str | list[str]]) -> Iterator[bytes]:
-        self._learn({part for parts in held if isinstance(parts, list) for part in parts if part not in self.parts})
-        for parts in held:
-            if isinstance(parts, str):
-                yield np.array(self.tokenizer.encode(parts, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            try:
-                yield b"".join(map(self.parts.__getitem__, parts))
-            except KeyError:  # the age turned within the group
-                yield b"".join(self.parts.get(part) or self.before[part] for part in parts)
-
-    def _learn(self, missing: set[str]) -> None:
-        """Ids of all new parts in one call: each stands between spaces and marks, so it has the same ids there."""
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [bool(PLAIN.fullmatch(text)) and not any(s in text for s in SPECIAL) and unicodedata.is_normalized("NFC", text) for text in texts]
+        put = self._put_together([text.lower() for text, own in zip(texts, plain) if own])
+        for text, own in zip(texts, plain):
+            yield next(put) if own else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _put_together(self, texts: list[str]) -> Iterator[bytes]:
+        # White space parts words, so what stands between it can be remembered as a whole.
+        parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = parts.flatten().dictionary_encode()
+        ids = self._known(coded.dictionary.to_pylist())
+        data = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        code = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[code])])
+        at = np.repeat((np.cumsum(size) - size)[code] - ends[:-1], size[code])
+        at += np.arange(len(at))
+        data, cuts = data[at].tobytes(), (4 * ends[parts.offsets.to_numpy()]).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield data[a:b]
+
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """The ids of different parts."""
+        found = list(map(self.parts.get, parts))
+        missing = [part for part, ids in zip(parts, found) if ids is None]
         if len(self.parts) > MEMORY:
             self.parts, self.before = {}, self.parts
-            # What the group needs of the parts in use has just become what was in use before.
-        new = list(missing - self.before.keys())
-        self.parts.update((part, self.before[part]) for part in missing & self.before.keys())
-        if not new:
-            return
-        ids = np.array(self.inner.encode_batch_fast([f" {MARK} ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        held = list(map(self.before.get, missing))
+        new = [part for part, ids in zip(missing, held) if ids is None]
+        learned = self._learned(new)
+        held = [next(learned) if ids is None else ids for ids in held]
+        self.parts.update(zip(missing, held))
+        rest = iter(held)
+        return [next(rest) if ids is None else ids for ids in found]
+
+    def _learned(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of each part, made by the tokenizer."""
+        if self.words is None:
+            return self._marked(parts)
+        words = self.words.findall(" ".join(parts))
+        ids = {word: self.parts.get(word) or self.before.get(word) for word in dict.fromkeys(words)}
+        ids[" "] = b""
+        new = [word for word, own in ids.items() if own is None]
+        made, size = [], [0]
+        for letters in " ".join(new).encode().decode("latin-1").translate(BYTES).split(chr(BYTES[32])) if new else ():
+            made += [token.id for token in self.inner.model.tokenize(letters)]
+            size.append(4 * len(made))
+        data = np.array(made, "<u4").tobytes()
+        ids.update(zip(new, (data[a:b] for a, b in zip(size, size[1:]))))
+        found = list(map(ids.__getitem__, words))
+        at = [k for k, word in enumerate(words) if word == " "]
+        cuts = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        data = b"".join(found)
+        cuts = [0, *cuts[at].tolist(), len(data)]
+        return (data[a:b] for a, b in zip(cuts, cuts[1:]))
+
+    def _marked(self, parts: list[str]) -> Iterator[bytes]:
+        """All parts in one call: each stands between spaces and marks, so it has the same ids there."""
+        texts = [part for part in parts if part]
+        ids = np.array(self.inner.encode(f" {MARK} ".join(texts), add_special_tokens=False).ids, "<u4")
         at = np.flatnonzero(ids == self.mark[0])
-        if len(at) != len(new) - 1:
+        if len(at) != max(0, len(texts) - 1):
             raise ValueError("the tokenizer cuts parts in another way")
         data = ids.tobytes()
-        starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(data)]
-        self.parts.update(zip(new, (data[a:b] for a, b in zip(starts, ends))))
+        starts, ends = iter([0, *(4 * at + 4).tolist()]), iter([*(4 * at).tolist(), len(data)])
+        return (data[next(starts) : next(ends)] if part else b"" for part in parts)
 
 
 @lru_cache(maxsize=1)

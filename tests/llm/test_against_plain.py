@@ -199,6 +199,39 @@ def test_packing_gives_back_the_ids(spark):
     assert total.sum() / (packing.WINDOW * len(total)) > 0.98
 
 
+def test_word_ids_are_the_tokenizers(monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    rng = random.Random(5)
+    odd = ["it's", "'single'", "l'été.", "''ll", "²³¼ a1b22", "ǄŉĲ", "aªº_b", "\u00ad", "…", "a  b\r\n\t", " ", "", "x\x0by", "İ", "漢字", "<|endoftext|>", "---'s", "É,É;É"]
+    texts = [" ".join(rng.choice(odd + plain.WORDS) + rng.choice(["", ".", ",\n", "'t"]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    monkeypatch.setattr(packing, "MEMORY", 20)
+    monkeypatch.setattr(packing, "GROUP", 700)
+    tokens = packing.WordTokens(path)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in tokens.of_all(texts)] == [whole.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def test_words_are_tokenized_once(monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    tokens, seen = packing.WordTokens(path), []
+
+    class Model:
+        def tokenize(self, word):
+            seen.append(word)
+            return model.tokenize(word)
+
+    class Inner:
+        model = Model()
+
+    model, want = tokens.inner.model, tokens.tokenizer.encode("blending. blending, (blending) é blending", add_special_tokens=False).ids
+    monkeypatch.setattr(tokens, "inner", Inner())
+    tokens.of("blending")
+    assert np.frombuffer(tokens.of("blending. blending, (blending) é blending"), "<u4").tolist() == want
+    assert sorted(seen) == sorted(["blending", ".", ",", "(", ")", "Ã©"])
+
+
 def test_least_squares_is_optimal():
     rng = np.random.default_rng(2)
     for _ in range(20):
